@@ -1,9 +1,10 @@
 """Queries of this subpackage and their SQL."""
 
-from tallywright.llm import langid, mixing, warc
+from tallywright.llm import langid, mixing, parity_join, warc
 
 QUERIES = {
     "op4_language_id": langid.op4_language_id,
+    "op7_parity_join": parity_join.op7_parity_join,
     "op9_source_mix": mixing.op9_source_mix,
     "op10_warc_archive": warc.op10_warc_archive,
 }
