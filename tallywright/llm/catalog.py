@@ -1,11 +1,14 @@
 """Queries of this subpackage and their SQL."""
 
-from tallywright.llm import langid, mixing, parity_join, warc
+from tallywright.llm import html_text, itq_dedup, langid, mixing, parity_join, quotes, warc
 
 QUERIES = {
+    "op2_html_text": html_text.op2_html_text,
     "op4_language_id": langid.op4_language_id,
+    "op5_quote_linking": quotes.op5_quote_linking,
     "op7_parity_join": parity_join.op7_parity_join,
+    "op8_embedding_dedup": itq_dedup.op8_embedding_dedup,
     "op9_source_mix": mixing.op9_source_mix,
     "op10_warc_archive": warc.op10_warc_archive,
 }
-ORACLES = {"op9_source_mix": mixing.SQL, "op10_warc_archive": warc.SQL}
+ORACLES = {"op5_quote_linking": quotes.SQL, "op9_source_mix": mixing.SQL, "op10_warc_archive": warc.SQL}

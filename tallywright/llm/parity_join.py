@@ -3,12 +3,13 @@
 XOR-ing one-hot hashes of a set's members gives a bit sketch; where two sketches differ, a member of the symmetric
 difference has been hashed, so their Hamming distance is at most the size of that difference. Two sets of sizes a and b
 with Jaccard similarity t or more differ in at most (1 - t) / (1 + t) * (a + b) members, D for a band of sizes. A sketch is
-cut into P > D parts: at least P - D parts agree, so it is enough to join on the D + 1 parts that come first in an order
-that both sets share. That order puts parts with more bits first, as parts with few bits say little. No linked pair is lost.
+cut into P > D parts: at least P - D parts agree, so linked sets share at least m of the D + m parts that come first in an
+order that both use. That order puts parts with more bits first, as parts with few bits say little. No linked pair is lost.
 
-Equal sets meet first (by fingerprint). Links are then found in two steps: each set is verified against the smallest set
-that it shares most parts with; sets that share a part but are in different components by then are compared by longer
-sketches, in blocks, and verified. No step forms all pairs of a group of copies.
+Equal sets meet first (by fingerprint). Sets with fewer than m parts in common with others drop out, and of its parts each
+set may leave out the m - 1 that most sets share. Links are then found in rounds: sets that share a part but are not yet in
+one component are compared by sketch, in blocks; each is verified against the nearest one; in the last round against all
+that are left. Before a text is read, longer sketches must allow the link.
 
 Defined cases: null and empty texts and texts without words have no set, link with nothing and are a component each. A
 null id is treated as smaller than all others in no result: it is never a component's id unless all its ids are null.
@@ -24,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallywright.llm.shared import components, mix, sorted_groups, stored, table, word_hashes
+from tallywright.llm.shared import components, mix, small, sorted_groups, stored, table, word_hashes
 
 WIDTH = 4  # words in a shingle
 PERCENT = 85  # least Jaccard similarity, in hundredths
 RATIO = 1.4  # of the sizes at a band's ends
-SPARE = 1.25  # parts for each part that must be joined on
-SKETCH_BITS = 1024  # of the sketches that the second step compares
+SPARE = 1.25  # parts for each part that may differ
+BANDS = 128  # low bits of a key that name its band
+SHORT_BITS = 1024  # of the sketches that blocks compare
+ROUNDS = 2  # in which each set is verified against the nearest one of another component, before all the rest are
 BLOCK = 1024  # sets on either side of a block of comparisons
 STAR = 512  # sets verified against one other in a task
 
@@ -71,25 +74,31 @@ def fingerprint(members: np.ndarray) -> int:
     return int(mix(np.array([total ^ np.uint64(len(members))], np.uint64))[0] >> np.uint64(1)) or 1
 
 
+def _plan(allowed: int) -> tuple[int, int]:
+    """Parts of a sketch, and how many of the first ones linked sets share."""
+    parts = int((allowed + 1) * SPARE) + 1
+    return parts, 1 + (parts - allowed - 1) * 4 // 5
+
+
 def _keys(members: np.ndarray, band: int, allowed: int) -> np.ndarray:
-    """Join keys of a set in the comparisons of a band: its first allowed + 1 parts."""
-    parts = int((allowed + 1) * SPARE) + (allowed > 0)
+    """Join keys of a set in the comparisons of a band: the first of its parts."""
+    parts, need = _plan(allowed)
     where = (mix(members) >> np.uint64(16)) % np.uint64(parts * 64)
     bits = np.flatnonzero(np.bincount(where.astype(np.int64), minlength=parts * 64) & 1)
     value = np.zeros(parts, np.uint64)
     np.bitwise_or.at(value, bits >> 6, np.uint64(1) << (bits & 63).astype(np.uint64))
     hashed = mix(value ^ mix(np.arange(parts, dtype=np.uint64) * np.uint64(1009) + np.uint64(band)))
     order = np.lexsort((hashed, -np.bincount(bits >> 6, minlength=parts)))
-    return hashed[order[: allowed + 1]]
+    return hashed[order[: allowed + need]] & np.uint64(~(BANDS - 1) & ((1 << 64) - 1)) | np.uint64(band)
 
 
-def _sketch(members: np.ndarray) -> bytes:
-    where = (mix(members ^ np.uint64(0x5BD1E995)) % np.uint64(SKETCH_BITS)).astype(np.int64)
-    return np.packbits((np.bincount(where, minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
+def _sketch(members: np.ndarray, size: int) -> bytes:
+    where = ((mix(members ^ np.uint64(0x5BD1E995)) >> np.uint64(8)) % np.uint64(size)).astype(np.int64)
+    return np.packbits((np.bincount(where, minlength=size) & 1).astype(np.uint8)).tobytes()
 
 
 def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, fp, n, keys, sketch) of all documents."""
+    """(doc_id, fp, n, keys, sketch, short) of all documents."""
     edges, most = bands(percent)
 
     def run(batches):
@@ -97,26 +106,53 @@ def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 piece = batch.slice(a, 1000)
-                fps, sizes, keys, ends, marks = [], [], [], [0], []
+                fps, sizes, keys, ends, marks, shorts = [], [], [], [0], [], []
                 for members in _sets(*word_hashes(piece.column(1)), width):
                     n = len(members)
                     fps.append(fingerprint(members))
                     sizes.append(n)
-                    own = []
+                    used = []
                     if n:
                         band = int(np.searchsorted(starts, n, "right")) - 1
                         lower = band and -(-n * percent // 100) < edges[band]  # a linked set may be in the band below
-                        own = [_keys(members, k, most[k]) for k in ([band, band - 1] if lower else [band]) if most[k]]
+                        used = [k for k in ([band, band - 1] if lower else [band]) if most[k]]
+                    own = [_keys(members, k, most[k]) for k in used]
                     keys += own
                     ends.append(ends[-1] + sum(map(len, own)))
-                    marks.append(_sketch(members) if n else None)
+                    marks.append(_sketch(members, 1 << max(6, (4 * n - 1).bit_length())) if n else None)
+                    shorts.append(_sketch(members, SHORT_BITS) if n else None)
                 flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), pa.array(marks, pa.binary())],
-                    names=["doc_id", "fp", "n", "keys", "sketch"],
+                    [piece.column(0), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), lists, pa.array(marks, pa.binary()), pa.array(shorts, pa.binary())],
+                    names=["doc_id", "fp", "n", "keys", "sketch", "short"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long, n long, keys array<long>, sketch binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long, n long, keys array<long>, sketch binary, short binary")
+
+
+def _allowed(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (a, b) whose sizes and sketches allow a link. A longer sketch is folded to the shorter one's size."""
+
+    def run(batches):
+        for batch in batches:
+            a, b, n, m, x, y = (batch.column(k).to_pylist() for k in range(6))
+            keep = []
+            for k in range(batch.num_rows):
+                one, two = np.frombuffer(x[k], np.uint8), np.frombuffer(y[k], np.uint8)
+                # the sketch of twice the size has the bit of hash modulo 2s; both halves fall on the bit modulo s
+                while len(one) > len(two):
+                    one = one[: len(one) // 2] ^ one[len(one) // 2 :]
+                while len(two) > len(one):
+                    two = two[: len(two) // 2] ^ two[len(two) // 2 :]
+                far = int(np.bitwise_count(one ^ two).sum(dtype=np.int64))
+                keep.append(100 * min(n[k], m[k]) >= percent * max(n[k], m[k]) and far * (100 + percent) <= (100 - percent) * (n[k] + m[k]))
+            kept = np.flatnonzero(keep)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)[kept]), pa.array(np.array(b, np.int64)[kept])], names=["a", "b"])
+
+    one = info.select(F.col("fp").alias("a"), F.col("n").alias("n1"), F.col("sketch").alias("s1"))
+    two = info.select(F.col("fp").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("s2"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "n1", "n2", "s1", "s2").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, owner: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -126,7 +162,7 @@ def _verified(pairs: DataFrame, owner: DataFrame, docs: DataFrame, width: int, p
     members = pairs.join(heads, "a").select("a", F.pmod(F.xxhash64("b"), F.col("slots")).cast("int").alias("slot"), F.col("b").alias("fp"), F.lit(1).alias("side"))
     firsts = heads.select("a", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.col("a").alias("fp"), F.lit(0).alias("side"))
     wanted = members.unionByName(firsts)
-    ids = owner.join(wanted.select("fp").distinct(), "fp", "left_semi").select("fp", F.col("doc_id").alias("__id"))
+    ids = small(stored(owner.join(wanted.select("fp").distinct(), "fp", "left_semi").select("fp", F.col("doc_id").alias("__id")), "ids"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(ids, F.col("doc_id").eqNullSafe(F.col("__id"))).select("fp", "text")
     rows = wanted.join(texts, "fp").select("a", "slot", "side", "fp", "text")
     rows = rows.repartition("a", "slot").sortWithinPartitions("a", "slot", "side")
@@ -153,66 +189,91 @@ def _verified(pairs: DataFrame, owner: DataFrame, docs: DataFrame, width: int, p
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _blocks(percent: int):
-    """Pairs of sets in a block that differ in component and whose sketches and sizes allow a link."""
+def _blocks(percent: int, nearest: bool):
+    """(a, b, far): pairs of sets in a block that differ in component and whose sketches and sizes allow a link; far is the
+    sketches' distance. nearest: each set's nearest one only."""
 
     def run(batches):
         for group in sorted_groups(batches, ["key", "i", "j"]):
             block, own = group.column("i")[0].as_py(), group.column("block").to_numpy()
             other = group.column("j")[0].as_py()
             fp, n, label = (group.column(k).to_numpy() for k in ("fp", "n", "label"))
-            marks = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint64).reshape(len(fp), -1)
+            marks = np.frombuffer(b"".join(group.column("short").to_pylist()), np.uint64).reshape(len(fp), -1)
             left, right = np.flatnonzero(own == block), np.flatnonzero(own == other)
-            out_a, out_b = [], []
+            out = []
             for x in left:
-                y = right[(label[right] != label[x]) & ((fp[right] > fp[x]) | (block != other))]
-                y = y[(100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
+                y = right[label[right] != label[x]]
+                y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
+                if not nearest and block == other:
+                    y = y[fp[y] > fp[x]]
                 if len(y):
                     far = np.bitwise_count(marks[y] ^ marks[x]).sum(1, dtype=np.int64)
-                    y = y[far * (100 + percent) <= (100 - percent) * (n[y] + n[x])]
-                    out_a.append(np.minimum(fp[y], fp[x]))
-                    out_b.append(np.maximum(fp[y], fp[x]))
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
+                    ok = np.flatnonzero(far * (100 + percent) <= (100 - percent) * (n[y] + n[x]))
+                    if nearest and len(ok):
+                        ok = ok[[np.argmin(far[ok])]]
+                    out.append(np.stack([np.full(len(ok), fp[x]), fp[y[ok]], far[ok]]))
+            if out:
+                a, b, far = np.concatenate(out, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(far)], names=["a", "b", "far"])
 
     return run
 
 
+def _shared(rows: DataFrame) -> DataFrame:
+    """Rows (key, fp) of the keys that several sets have."""
+    by_key = Window.partitionBy("key").orderBy("fp")
+    return rows.withColumn("first", F.first("fp").over(by_key)).withColumn("next", F.lead("fp").over(by_key)).where("first <> fp or next <> fp").drop("first", "next")
+
+
+def _buckets(exploded: DataFrame, percent: int) -> DataFrame:
+    """(key, fp): keys that linked sets are sure to share, without those that too few or too many sets have."""
+    most = bands(percent)[1]
+    band = F.col("key").bitwiseAND(F.lit(BANDS - 1)).cast("int")
+    need = F.element_at(F.array(*(F.lit(_plan(x)[1]) for x in most)), F.col("band") + 1)
+    rows = stored(_shared(exploded), "buckets").withColumn("band", band)
+    enough = rows.groupBy("fp", "band").agg(F.count("*").alias("found")).where(F.col("found") >= need)
+    rows = rows.join(small(stored(enough.select("fp", "band"), "enough")), ["fp", "band"], "left_semi")
+    own = Window.partitionBy("fp", "band")
+    rows = rows.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1")
+    rows = rows.withColumn("found", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("size", "key")))
+    return stored(_shared(rows.where(F.col("place") <= F.col("found") - need + 1).select("key", "fp")), "buckets")
+
+
 def linked_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(members: doc_id, fp, n) and (component: fp, root): the sets of documents and the components of linked sets."""
     all_sets = stored(sketches(docs, width, percent), "sets")
-    members = all_sets.select("doc_id", "fp", "n")
-    unique = all_sets.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    owner = stored(unique, "owners")
-    # one row for each set: rows of the owning document, of which copies with the same id are equal
-    keyed = all_sets.where("n > 0").select("doc_id", "fp", "n", "keys").join(owner.select(F.col("fp").alias("__fp"), F.col("doc_id").alias("__id")), (F.col("fp") == F.col("__fp")) & F.col("doc_id").eqNullSafe(F.col("__id")))
-    exploded = keyed.select(F.explode("keys").alias("key"), "fp")
-    by_key = Window.partitionBy("key").orderBy("fp")
-    shared = exploded.withColumn("first", F.first("fp").over(by_key)).withColumn("next", F.lead("fp").over(by_key)).where("first <> fp or next <> fp")
-    shared = stored(shared.select("key", "fp", "first"), "buckets")
-    # step one: each set against the set that it shares most parts with as the first of a bucket
-    votes = shared.where("first <> fp").groupBy("fp", "first").agg(F.count("*").alias("votes"))
-    pairs = votes.groupBy("fp").agg(F.max_by("first", F.struct("votes", -F.col("first"))).alias("a")).select("a", F.col("fp").alias("b"))
-    links = stored(_verified(stored(pairs, "pairs"), owner, docs, width, percent), "links")
-    label = stored(components(links), "labels")
-    # step two: buckets that still hold several components
-    lab = shared.join(label, F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("component", "fp").alias("label"))
-    mixed = lab.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low <> high").select("key", "size")
-    tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    info = all_sets.where("n > 0").select("fp", "n", "sketch")
-    rest = stored(lab.join(mixed, "key").distinct(), "mixed")
-    info = info.join(rest.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    rest = rest.join(info, "fp").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("fp", "key"), F.col("blocks")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "n", "label", "sketch")
-    rest = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = rest.mapInArrow(_blocks(percent), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
-    more = stored(more, "more")
-    if not more.isEmpty():
-        links = links.unionByName(stored(_verified(more, owner, docs, width, percent), "links"))
-        label = stored(components(links), "labels")
-    return members, label.select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    filled = all_sets.where("n > 0")
+    owner = stored(filled.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "owners")
+    # copies need not be joined: what is left of a set are the rows with its smallest id
+    again = filled.select("fp", "doc_id").join(owner.where("copies > 1").select("fp", F.col("doc_id").alias("__id")), "fp").where("not doc_id <=> __id")
+    again = small(stored(again.select(F.col("fp").alias("__fp"), F.col("doc_id").alias("__id")).distinct(), "copies"))
+    keyed = filled.select("doc_id", "fp", "keys").join(again, (F.col("fp") == F.col("__fp")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    buckets = _buckets(keyed.select(F.explode("keys").alias("key"), "fp"), percent)
+    info = stored(filled.select("fp", "n", "sketch", "short").join(small(stored(buckets.select("fp").distinct(), "wanted")), "fp", "left_semi").dropDuplicates(["fp"]), "info")
+    links = docs.sparkSession.createDataFrame([], "a long, b long")
+    label = docs.sparkSession.createDataFrame([], "node long, component long")
+    tested = links
+    for turn in range(ROUNDS + 1):
+        rows = buckets.join(small(label), F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("component", "fp").alias("label"))
+        keys = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("low <> high")
+        keys = stored(keys.select("key", "size", "a", "b"), "open")
+        rest = rows.join(small(keys.where("size > 2").select("key", "size")), "key").join(info.select("fp", "n", "short"), "fp").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+        rest = rest.withColumn("block", F.pmod(F.xxhash64("fp", "key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rest = rest.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "n", "label", "short")
+        rest = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        pairs = rest.mapInArrow(_blocks(percent, turn < ROUNDS), "a long, b long, far long")
+        if turn < ROUNDS:
+            pairs = pairs.groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b"))
+        if not turn:
+            pairs = pairs.select("a", "b").unionByName(keys.where("size = 2").select("a", "b"))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        pairs = stored(_allowed(pairs, info, percent), "pairs")
+        if pairs.isEmpty():
+            continue
+        tested = tested.unionByName(pairs)
+        links = links.unionByName(stored(_verified(pairs, owner, docs, width, percent), "links"))
+        label = stored(components(links).select("node", "component"), "labels")
+    return all_sets.select("doc_id", "fp", "n"), label.select(F.col("node").alias("fp"), F.col("component").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
