@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -25,13 +26,20 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts the lineage and survives lost executors."""
+def stored(df: DataFrame, name: str, whole_files: bool = False) -> DataFrame:
+    """df written to the shared folder and read again: cuts the lineage and survives lost executors.
+    whole_files: each partition becomes one row group, which no later read splits."""
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**{"parquet.block.size": (1 << 31) - 1} if whole_files else {}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps, which it does once the driver has collected its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """df, a stored table of a few narrow columns, marked for broadcast if it has at most so many rows; else as it is."""
     return F.broadcast(df) if df.count() <= rows else df
@@ -74,9 +82,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray]:
+def _tables(letters: bool) -> tuple[np.ndarray, np.ndarray]:
     space = np.zeros(256, bool)
     space[[32, 9, 10, 11, 12, 13]] = True
+    if letters:
+        space[:128] = [not chr(i).isalnum() for i in range(128)]
     lower = np.arange(1, 257, dtype=np.uint64)
     lower[65:91] += np.uint64(32)
     return space, lower
@@ -93,13 +103,14 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(column: pa.Array, letters: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words [^\\x20\\x09-\\x0D]+, A-Z lower-cased, of all texts, and each text's offset among them.
+    letters: words are runs of letters and digits, all letters lower-cased.
 
     Works on 1 MB of bytes at a time, cut between words, so that a very long text costs 8 bytes a word.
     """
-    raw, offsets = text_buffers(column)
-    space, lower = _tables()
+    raw, offsets = text_buffers(pc.utf8_lower(column) if letters else column)
+    space, lower = _tables(letters)
     found, counts = [], np.zeros(len(offsets) - 1, np.int64)
     at, end = 0, len(raw)
     while at < end:
