@@ -26,7 +26,8 @@ CELL = 16
 FEATURE_BITS = 18
 RANK = 512
 SPARE = 16  # random vectors above the rank
-COSINE = 0.4
+COSINE = 0.35
+POWER = 2  # of the logarithm of the inverse document frequency in a weight
 VERBATIM = 0.75
 PARAPHRASE = 0.5
 ANSWER = 0.6  # share of the answer's words
@@ -66,12 +67,12 @@ def _sum_blobs(kind):
 
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """log((documents + 1) / (documents with the feature + 1)) of every feature: a table of fixed size."""
+    """log((documents + 1) / (documents with the feature + 1)) ** POWER of every feature: a table of fixed size."""
     sums = docs.select("text").mapInArrow(_frequencies, "part int, counts binary").repartition(17, "part").mapInArrow(_sum_blobs(np.int32), "part int, counts binary").collect()
     found = {r["part"]: np.frombuffer(r["counts"], np.int64) for r in sums}
     if not found:
         return np.zeros(_D, np.float32)
-    return np.log((found[16][0] + 1.0) / (np.concatenate([found[k] for k in range(16)]) + 1.0)).astype(np.float32)
+    return (np.log((found[16][0] + 1.0) / (np.concatenate([found[k] for k in range(16)]) + 1.0)) ** POWER).astype(np.float32)
 
 
 def _passages(words: np.ndarray) -> list[np.ndarray]:
@@ -85,7 +86,7 @@ def learn_space(items: DataFrame, idf: np.ndarray) -> dict | None:
     """The latent space of the benchmark's passages by a distributed randomised SVD, and the items in it."""
     has_answer = "answer" in items.columns
     rows = items.select("item_id", "text", F.col("answer").cast("string").alias("answer") if has_answer else F.lit(None).cast("string").alias("answer"))
-    rows = stored(rows, "items").repartition(8)
+    rows = stored(rows, "items").repartition(4)
     local = rows.toArrow()  # at most BLOCK items
     words, at = word_hashes(local.column("text").combine_chunks(), letters=True)
     texts = [words[a:b] for a, b in zip(at, at[1:], strict=False)]
@@ -102,7 +103,7 @@ def learn_space(items: DataFrame, idf: np.ndarray) -> dict | None:
     def matrix(column):
         hashed, at = word_hashes(column, letters=True)
         passages = [p for a, b in zip(at, at[1:], strict=False) for p in _passages(hashed[a:b])]
-        out = np.zeros((len(passages), len(vocabulary)))
+        out = np.zeros((len(passages), len(vocabulary)), np.float32)
         for k, p in enumerate(passages):
             place = np.searchsorted(vocabulary, _features(p))
             np.add.at(out[k], place, weight[place])
@@ -110,6 +111,7 @@ def learn_space(items: DataFrame, idf: np.ndarray) -> dict | None:
 
     def squared(basis):
         """A'A times basis, summed over the partitions of A."""
+        basis = basis.astype(np.float32)
 
         def run(batches):
             total = 0
@@ -120,14 +122,13 @@ def learn_space(items: DataFrame, idf: np.ndarray) -> dict | None:
             if not isinstance(total, int):
                 cut = max(1, (1 << 20) // (8 * basis.shape[1]))
                 blocks = range(0, len(total), cut)
-                yield pa.RecordBatch.from_arrays([pa.array([a // cut for a in blocks], pa.int32()), pa.array([total[a : a + cut].tobytes() for a in blocks], pa.binary())], names=["part", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([a // cut for a in blocks], pa.int32()), pa.array([total[a : a + cut].astype(np.float32).tobytes() for a in blocks], pa.binary())], names=["part", "counts"])
 
-        parts = rows.select("text").mapInArrow(run, "part int, counts binary").repartition(8, "part").mapInArrow(_sum_blobs(np.float64), "part int, counts binary").collect()
+        parts = rows.select("text").mapInArrow(run, "part int, counts binary").repartition(4, "part").mapInArrow(_sum_blobs(np.float32), "part int, counts binary").collect()
         return np.concatenate([np.frombuffer(r["counts"], np.float64) for r in sorted(parts, key=lambda r: r["part"])]).reshape(-1, basis.shape[1])
 
     basis = np.random.default_rng(11).standard_normal((len(vocabulary), width))
-    for _ in range(2):
-        basis, _ = np.linalg.qr(squared(basis))
+    basis, _ = np.linalg.qr(squared(basis))
     core = basis.T @ squared(basis)
     _, turn = np.linalg.eigh((core + core.T) / 2)
     space = basis @ turn[:, ::-1][:, :rank]
@@ -186,9 +187,10 @@ def _candidates(model: dict, words: np.ndarray, at: np.ndarray):
     for a in range(0, len(near), 256):
         some = near[a : a + 256]
         sizes = ends[some] - starts[some]
-        first = np.cumsum(sizes) - sizes
-        tokens = np.repeat(starts[some] - first, sizes) + np.arange(sizes.sum())
-        x = np.add.reduceat(model["space"][row[tokens]] * weight[tokens, None], first)
+        tokens = np.repeat(starts[some] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        own = np.repeat(np.arange(len(some)), sizes)[row[tokens] > 0]
+        tokens = tokens[row[tokens] > 0]
+        x = np.add.reduceat(model["space"][row[tokens]] * weight[tokens, None], np.flatnonzero(np.diff(own, prepend=-1)))
         cosine = (x @ model["latent"].T) / np.sqrt(whole[some])[:, None]
         for w, q in zip(*np.nonzero(cosine >= COSINE), strict=True):
             yield int(doc[some[w]]), int(starts[some[w]]), int(model["where"][q]), float(cosine[w, q])
