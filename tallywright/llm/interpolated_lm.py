@@ -25,7 +25,7 @@ from tallywright.llm.shared import id_bucket, mix, release, stored, table, word_
 
 RARE = 1e-6
 FOLDS, TEST, HELD = 7, 2, 3
-BATCH = 2_000_000  # tokens packed at once
+BATCH = 1_500_000  # tokens packed at once
 BUCKET = 2_500_000  # tokens in a bucket
 LEVELS = 18  # buckets of context frequency, each twice the one before; 0: rare
 STEP = 0.25  # of the logarithms that the weights are learned on
@@ -242,7 +242,7 @@ def _score(sent):
             for a, b in zip(cuts, [*cuts[1:], len(batch_id)], strict=True):
                 docs, where = np.unique(doc[a:b], return_inverse=True)
                 sums = [np.bincount(where, x[a:b], len(docs)) for x in (score, base)]
-                rows.append((int(batch_id[a]), 0, len(docs), _packed(docs, *sums, np.bincount(where, c_w[a:b] > 0, len(docs)).astype(np.uint32))))
+                rows.append((int(batch_id[a]), 0, len(docs), _packed(np.diff(docs, prepend=np.uint32(0)), *(x.astype(np.float32) for x in sums), np.bincount(where, c_w[a:b] > 0, len(docs)).astype(np.uint32))))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["batch", "bucket", "n", "data"])
 
     return run
@@ -264,7 +264,8 @@ def _sums(batches):
                 current, head, held = at, pa.ipc.open_stream(data).read_all(), [np.zeros(n) for _ in range(3)]
                 assert bucket == -1
             else:
-                docs, *sums = _unpacked(data, n, np.uint32, np.float64, np.float64, np.uint32)
+                docs, *sums = _unpacked(data, n, np.uint32, np.float32, np.float32, np.uint32)
+                docs = np.cumsum(docs)
                 for total, part in zip(held, sums, strict=True):
                     total[docs] += part
     if head is not None:
