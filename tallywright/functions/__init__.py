@@ -1 +1 @@
-"""Incremental reconciliation of entities and references on Spark DataFrames."""
+"""Scalar functions on columns: coercion, text and id normalisation, paging urls, diagnostics."""

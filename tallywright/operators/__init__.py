@@ -1 +1 @@
-"""Incremental reconciliation of entities and references on Spark DataFrames."""
+"""Operators on DataFrames: identity and dedup, roll-ups, status, merge, snapshots, reports."""

@@ -1 +1 @@
-"""Incremental reconciliation of entities and references on Spark DataFrames."""
+"""The query catalogue."""

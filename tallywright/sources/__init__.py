@@ -1 +1 @@
-"""Incremental reconciliation of entities and references on Spark DataFrames."""
+"""Landed sources: JSON documents in several layouts, and HTML pages."""

@@ -1 +1 @@
-"""Incremental reconciliation of entities and references on Spark DataFrames."""
+"""Incremental ingest of landed pages."""
