@@ -190,8 +190,8 @@ def _verified(pairs: DataFrame, owner: DataFrame, docs: DataFrame, width: int, p
 
 
 def _blocks(percent: int, nearest: bool):
-    """(a, b, far): pairs of sets in a block that differ in component and whose sketches and sizes allow a link; far is the
-    sketches' distance. nearest: each set's nearest one only."""
+    """(key, a, b, far, more): pairs of sets in a block that differ in component and whose sketches and sizes allow a link;
+    far is the sketches' distance. nearest: each set's nearest one only, with more where it has others."""
 
     def run(batches):
         for group in sorted_groups(batches, ["key", "i", "j"]):
@@ -200,7 +200,7 @@ def _blocks(percent: int, nearest: bool):
             fp, n, label = (group.column(k).to_numpy() for k in ("fp", "n", "label"))
             marks = np.frombuffer(b"".join(group.column("short").to_pylist()), np.uint64).reshape(len(fp), -1)
             left, right = np.flatnonzero(own == block), np.flatnonzero(own == other)
-            out = []
+            out, more = [], False
             for x in left:
                 y = right[label[right] != label[x]]
                 y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
@@ -210,11 +210,14 @@ def _blocks(percent: int, nearest: bool):
                     far = np.bitwise_count(marks[y] ^ marks[x]).sum(1, dtype=np.int64)
                     ok = np.flatnonzero(far * (100 + percent) <= (100 - percent) * (n[y] + n[x]))
                     if nearest and len(ok):
+                        more |= len(ok) > 1
                         ok = ok[[np.argmin(far[ok])]]
                     out.append(np.stack([np.full(len(ok), fp[x]), fp[y[ok]], far[ok]]))
             if out:
                 a, b, far = np.concatenate(out, axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(far)], names=["a", "b", "far"])
+                if len(a):
+                    key = np.full(len(a), group.column("key")[0].as_py())
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(a), pa.array(b), pa.array(far), pa.array([more] * len(a), pa.bool_())], names=["key", "a", "b", "far", "more"])
 
     return run
 
@@ -230,13 +233,12 @@ def _buckets(exploded: DataFrame, percent: int) -> DataFrame:
     most = bands(percent)[1]
     band = F.col("key").bitwiseAND(F.lit(BANDS - 1)).cast("int")
     need = F.element_at(F.array(*(F.lit(_plan(x)[1]) for x in most)), F.col("band") + 1)
-    rows = stored(_shared(exploded), "buckets").withColumn("band", band)
-    enough = rows.groupBy("fp", "band").agg(F.count("*").alias("found")).where(F.col("found") >= need)
-    rows = rows.join(small(stored(enough.select("fp", "band"), "enough")), ["fp", "band"], "left_semi")
+    by_key = Window.partitionBy("key")
+    rows = exploded.withColumn("size", F.count("*").over(by_key)).where("size > 1")
     own = Window.partitionBy("fp", "band")
-    rows = rows.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1")
-    rows = rows.withColumn("found", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("size", "key")))
-    return stored(_shared(rows.where(F.col("place") <= F.col("found") - need + 1).select("key", "fp")), "buckets")
+    rows = rows.withColumn("band", band).withColumn("found", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("size", "key")))
+    rows = rows.where((F.col("found") >= need) & (F.col("place") <= F.col("found") - need + 1)).select("key", "fp")
+    return stored(_shared(rows), "buckets")
 
 
 def linked_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -261,12 +263,15 @@ def linked_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
         rest = rest.withColumn("block", F.pmod(F.xxhash64("fp", "key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         rest = rest.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "n", "label", "short")
         rest = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        pairs = rest.mapInArrow(_blocks(percent, turn < ROUNDS), "a long, b long, far long")
+        pairs = rest.mapInArrow(_blocks(percent, turn < ROUNDS), "key long, a long, b long, far long, more boolean")
         if turn < ROUNDS:
+            pairs = stored(pairs, "near")
+            # keys in which all sets have one candidate at most are done with
+            buckets = stored(buckets.join(small(stored(pairs.where("more").select("key").distinct(), "again")), "key", "left_semi"), "buckets")
             pairs = pairs.groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b"))
         if not turn:
             pairs = pairs.select("a", "b").unionByName(keys.where("size = 2").select("a", "b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        pairs = pairs.select("a", "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         pairs = stored(_allowed(pairs, info, percent), "pairs")
         if pairs.isEmpty():
             continue
