@@ -1,0 +1,232 @@
+"""The ten operators against brute force, with nulls, empty and long texts, ties, repeats, empty tables and extra columns."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tallywright.llm import html_text, interpolated_lm, itq_dedup, langid, latent_decontam, mixing, parity_join, quotes, secrets, warc
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+rng = np.random.default_rng(3)
+WORDS = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(400)]
+ODD = [(None, "no id here", None, None, None), (900, None, "en", "s1", None), (901, "", "en", None, 0), (902, " \t\n", None, "s2", 3), (903, "ok", "de", "s2", 2), (903, "ok", "de", "s2", 2)]
+
+
+def text(n):
+    return " ".join(rng.choice(WORDS, n))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = []
+    for i in range(60):
+        t = text(int(rng.integers(20, 120)))
+        rows.append((i, t, "en", f"s{i % 4}", len(t)))
+        if i % 5 == 0:
+            w = t.split()
+            w[3] = "changed"
+            rows.append((100 + i, " ".join(w), "en", "s0", len(t)))
+            rows.append((200 + i, t.upper(), "en", "s0", len(t)))
+    rows.append((300, text(30_000), "en", "s3", 0))
+    return spark.createDataFrame(rows + ODD, SCHEMA).withColumn("score", F.lit("x")).withColumn("key", F.lit(1)).repartition(3)
+
+
+def shingles(t, n):
+    w = (t or "").encode().lower().split()
+    return frozenset(tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))) if w else frozenset()
+
+
+@pytest.mark.parametrize(("width", "percent"), [(4, 85), (5, 80)])
+def test_parity_join(docs, width, percent):
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    sets = [shingles(t, width) for _, t in rows]
+    label = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * len(sets[a] | sets[b]):
+                old, new = label[a], label[b]
+                label = [new if x == old else x for x in label]
+    low = {}
+    for (i, _), x in zip(rows, label, strict=True):
+        low[x] = min((v for v in (i, low.get(x)) if v is not None), default=None)
+    want = Counter((i, len(s), low[x]) for (i, _), s, x in zip(rows, sets, label, strict=True))
+    got = Counter(tuple(r) for r in parity_join.near_duplicates(docs, width, percent).collect())
+    assert got == want
+    assert parity_join.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_parity_sketch_is_a_lower_bound():
+    for _ in range(50):
+        a = rng.integers(0, 1 << 62, 200).astype(np.uint64)
+        b = np.concatenate([a[:180], rng.integers(0, 1 << 62, 20).astype(np.uint64)])
+        x, y = (np.frombuffer(parity_join._sketch(np.unique(v), 1024), np.uint8) for v in (a, b))
+        assert np.bitwise_count(x ^ y).sum() <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
+def test_mixing(docs):
+    got = mixing.mix(docs).collect()
+    assert len(got) == docs.count()
+    sizes = Counter()
+    for r in got:
+        assert r.size == len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+        sizes[r.source] += r.size
+    names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    fixed, rest = {}, float(sum(sizes.values()))
+    while True:
+        free = [s for s in names if s not in fixed]
+        total = sum(weight[s] for s in free)
+        above = [s for s in free if rest * weight[s] / total > 3 * sizes[s]]
+        if not above:
+            break
+        for s in above:
+            fixed[s] = 3.0 * sizes[s]
+        rest = sum(sizes.values()) - sum(fixed.values())
+    target = {s: fixed.get(s, rest * weight[s] / total) for s in names}
+    for r in got:
+        assert r.target == pytest.approx(target[r.source]) and r.source_size == sizes[r.source] and r.taken <= 3 * r.size
+    assert mixing.emitted(docs).count() == sum(r.copies for r in got)
+    assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_language_id(spark):
+    en, de = ("the and with that this from".split(), "der die und nicht eine sich".split())
+    make = lambda w: " ".join(rng.choice(w, 30))
+    rows = [(i, make(en if i % 2 else de), "en" if i % 2 else "de") for i in range(60)] + [(100, None, None), (101, "12 34", "en"), (102, "A.", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(df.where("doc_id < 40"))
+    got = {r.doc_id: r for r in langid.predict(df, model).collect()}
+    assert all(got[i].lang_pred == ("en" if i % 2 else "de") for i in range(40, 60))
+    assert got[100].lang_pred == got[101].lang_pred == "und" and got[102].lang_pred in ("de", "en")
+    assert all(0 <= r.score <= 1 for r in got.values())
+    empty = langid.learn(df.limit(0))
+    assert langid.decide(empty, "the") == ("und", 0.0)
+
+
+def test_language_model(docs):
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    token = [(t or "").encode().lower().split() + [None] for _, t in rows]
+    out = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in rows]
+    counts = Counter(w for ws, o in zip(token, out, strict=True) if not o for w in ws)
+    n, v = sum(counts.values()), len(counts)
+    got = sorted(((r.n_tokens, r.n_known, r.held_out, r.train_tokens, round(r.base_score, 3)) for r in interpolated_lm.score_documents(docs).collect()), key=str)
+    want = sorted(((len(ws), sum(counts[w] > 0 for w in ws), o, n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws), 3)) for ws, o in zip(token, out, strict=True)), key=str)
+    assert [g[:4] for g in got] == [w[:4] for w in want]
+    assert [g[4] for g in got] == pytest.approx([w[4] for w in want], rel=1e-6)
+    assert interpolated_lm.score_documents(docs.limit(0)).count() == 0
+
+
+def test_weights_sum_to_one():
+    w = interpolated_lm.learn_weights([(3 << 20 | 210 << 10 | 205, 50), (0 << 20 | 0 << 10 | 220, 7)])
+    assert w.sum(1) == pytest.approx(np.ones(len(w))) and w[0, 0] == 0
+
+
+def test_decontamination(spark):
+    items = [(k, text(25)) for k in range(12)]
+    clean = [(k, text(150)) for k in range(30)]
+    leaks = []
+    for k in range(12):
+        w = items[k][1].split()
+        if k % 2:
+            w[5] = w[15] = "other"
+        leaks.append((100 + k, f"{text(40)} {' '.join(w).upper()}, {text(60)}"))
+    df = spark.createDataFrame(clean + leaks + [(None, None), (500, "")], "doc_id long, text string").withColumn("item_id", F.lit(5))
+    bench = spark.createDataFrame([*items, (50, None), (51, "")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in latent_decontam.contaminated(df, bench).collect()}
+    assert got == {(100 + k, k) for k in range(12)}
+    assert latent_decontam.without_leaks(df, bench).count() == 32
+    assert latent_decontam.contaminated(df, bench.limit(0)).count() == 0
+
+
+def test_common_subsequence():
+    for _ in range(100):
+        a, b = (rng.integers(0, 6, rng.integers(1, 20)).astype(np.uint64) for _ in range(2))
+        t = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1, j + 1] = t[i, j] + 1 if x == y else max(t[i, j + 1], t[i + 1, j])
+        assert latent_decontam.common_subsequence(a, b) == t[-1, -1]
+
+
+def test_embeddings(spark):
+    rows = []
+    for k in range(120):
+        v = rng.standard_normal(32)
+        rows.append((3 * k, v.tolist(), k % 3))
+        if k % 4 == 0:
+            rows.append((3 * k + 1, (2 * v + 0.02 * rng.standard_normal(32)).tolist(), k % 3))
+            rows.append((3 * k + 2, v.tolist(), k % 3))
+    rows += [(1000, None, 1), (1001, [0.0] * 32, 1), (1002, [float("nan")] * 32, 1), (1003, [None] + [1.0] * 31, 1), (1004, rows[0][1], None), (1005, [], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("place", F.lit(1))
+    got = {r.vec_id: r for r in itq_dedup.near_duplicates(df).collect()}
+    good = [r for r in rows if r[0] < 1000]
+    x = np.array([r[1] for r in good])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([r[2] for r in good])
+    linked = (x @ x.T >= 0.98) & (label[:, None] == label[None, :])
+    np.fill_diagonal(linked, False)
+    have = sum(got[r[0]].n_links for r in good)
+    assert linked.sum() * 0.9 <= have <= linked.sum()
+    assert all(got[i].n_links == 0 and got[i].kept for i in range(1000, 1006))
+    assert itq_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_html(spark):
+    page = "<html><head><title>t</title><script>x='<p>'</script></head><body><nav>menu</nav><div class='cookie-notice'>ok?</div><article><h1>A &amp; B</h1><p>one\n two<p>three<div class='comments'><p>nice</p></div></article><aside>side</aside><form>f</form><footer>&copy;</footer>"
+    assert html_text.main_text(page) == "A & B\none two\nthree"
+    other = "<body><div class=top><b>Site</b></div><div class=content><p>Body {}</p></div><div class=end>Always here</div></body>"
+    rows = [(i, "http://h/x", other.format(i)) for i in range(6)] + [(10, None, None), (11, "http://h/y", ""), (12, "http://g", page)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))
+    got = {r.page_id: (r.text, r.n_chars) for r in html_text.extract(df).collect()}
+    assert got[3] == ("Body 3", 6) and got[10] == got[11] == ("", 0) and got[12][0].startswith("A & B")
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_quotes(spark):
+    rows = [(1, 0, "a", "Hello there.\nSecond line."), (1, 1, "b", "Other"), (1, 2, "a", "On Monday a wrote:\n> hello  THERE.\n> > deep\nI agree."), (1, 3, "b", None), (2, 0, "a", "> nobody"), (2, 1, "b", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("level", F.lit(9))
+    got = {(r.conv_id, r.turn): r for r in quotes.link_quotes(df).collect()}
+    assert got[1, 2].text == "I agree." and got[1, 2].reply_to == 0 and got[1, 2].quoted_lines == 2 and got[1, 2].linked_lines == 1
+    assert got[1, 1].reply_to == 0 and got[1, 3].text is None and got[1, 3].reply_to == 2 and got[2, 0].text == ""
+    assert quotes.link_quotes(df.limit(0)).count() == 0
+
+
+def test_secrets(spark):
+    key = hashlib.sha1(b"x").hexdigest()
+    rows = [(1, f'x token = "{key}" y token = "{key}"', "s"), (2, f"commit {key} merged", None), (3, "see mail9.example.com by me", "s"), (None, None, None), (5, "", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("value", F.lit(1)).withColumn("n_chars", F.length("text"))
+    found = {(r.doc_id, r.value): r.is_secret for r in secrets.scan(df).collect()}
+    assert found[1, key] and not found[2, key] and not any(v for (i, _), v in found.items() if i == 3)
+    clean = {r.doc_id: r for r in secrets.redacted(df).collect()}
+    assert clean[1].text == 'x token = "[SECRET]" y token = "[SECRET]"' and clean[1].n_chars == len(clean[1].text) and key in clean[2].text
+    held_out = secrets.labelled_findings(spark, 9000).where("xxhash64(value) % 2 = 0")
+    assembler, forest = secrets.train(secrets.labelled_findings(spark, 9000).where("xxhash64(value) % 2 <> 0"))
+    scored = forest.transform(assembler.transform(secrets._with_features(held_out)[0]))
+    assert scored.where("prediction = label").count() >= 0.97 * scored.count()
+    assert secrets.scan(df.limit(0)).count() == 0
+
+
+def test_warc(spark, tmp_path):
+    big = "<p>" + "é" * 200
+    rows = [(3, "http://a", big), (1, "http://b", big), (2, None, "small"), (5, "u", "small"), (4, "u", None), (7, "u", big), (None, "u", big)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1))
+    seen = []
+    for name in ("one", "two"):
+        folder = f"file://{tmp_path}/{name}"
+        manifest = warc.write_archive(df, folder)
+        seen.append(sorted((r.file, r.sha256) for r in manifest.collect()))
+        got = {r.page_id: r for r in warc.read_archive(spark, folder).collect()}
+        assert len(got) == len(rows) and all(r.valid for r in got.values())
+        assert got[1].record_type == "response" and got[1].payload_bytes == 403 and got[1].payload_digest == hashlib.sha256(big.encode()).hexdigest()
+        assert [got[i].refers_to for i in (3, 7, None, 1, 2, 5)] == [1, 1, 1, None, None, None] and got[4].payload_bytes == 0
+    assert seen[0] == seen[1]
+    empty = f"file://{tmp_path}/none"
+    warc.write_archive(df.limit(0), empty)
+    assert warc.read_archive(spark, empty).count() == 0
