@@ -22,7 +22,8 @@ SIZES = (3, 4)  # letters in an n-gram; a space stands for either end of a word
 SHARE = 2e-5  # least share of a language's n-grams; at most 1 / SHARE n-grams of a size pass for each language
 ROWS = 1 << 20  # rows of the filter
 HASHES = 3
-PIECE = 1 << 20  # characters at once
+PIECE = 1 << 18  # characters at once
+ROWS_AT_ONCE = 200  # texts whose n-grams are held together
 UNDETERMINED = "und"
 _LETTERS: list[np.ndarray] = []
 
@@ -80,19 +81,21 @@ def _count(batches):
         return pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
     for batch in batches:
-        fresh: dict[str, list] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for grams in ngrams(text):
-                fresh.setdefault(lang, []).append(grams)
-        for lang, grams in fresh.items():
-            found, n = np.unique(np.concatenate(grams), return_counts=True)
-            held.setdefault(lang, []).append((found, n))
-            size[lang] = size.get(lang, 0) + len(found)
-            if size[lang] > 1_000_000:
-                held[lang] = [_merged(held[lang])]
-                size[lang] = len(held[lang][0][0])
-                if size[lang] > 500_000:
-                    yield out(lang)
+        for a in range(0, batch.num_rows, ROWS_AT_ONCE):
+            piece = batch.slice(a, ROWS_AT_ONCE)
+            fresh: dict[str, list] = {}
+            for lang, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
+                for grams in ngrams(text):
+                    fresh.setdefault(lang, []).append(grams)
+            for lang, grams in fresh.items():
+                found, n = np.unique(np.concatenate(grams), return_counts=True)
+                held.setdefault(lang, []).append((found, n))
+                size[lang] = size.get(lang, 0) + len(found)
+                if size[lang] > 1_000_000:
+                    held[lang] = [_merged(held[lang])]
+                    size[lang] = len(held[lang][0][0])
+                    if size[lang] > 500_000:
+                        yield out(lang)
     for lang in list(held):
         yield out(lang)
 
@@ -149,7 +152,8 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most ROWS * 8 bytes for each 64 languages
 
     def run(batches):
-        for batch in batches:
+        pieces = (batch.slice(a, ROWS_AT_ONCE) for batch in batches for a in range(0, batch.num_rows, ROWS_AT_ONCE))
+        for batch in pieces:
             found = [decide(sent.value, t) for t in batch.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
