@@ -3,8 +3,11 @@
 XOR-ing one-hot hashes of a set's members gives a bit sketch; where two sketches differ, a member of the symmetric
 difference has been hashed, so their Hamming distance is at most the size of that difference. Two sets of sizes a and b
 with Jaccard similarity t or more differ in at most (1 - t) / (1 + t) * (a + b) members, D for a band of sizes. A sketch is
-cut into P > D parts: at least P - D parts agree, so linked sets share at least m of the D + m parts that come first in an
-order that both use. That order puts parts with more bits first, as parts with few bits say little. No linked pair is lost.
+cut into P parts, of which A agree in linked sets: P - D by the pigeonhole principle alone, and more as the D members fall
+on parts by their hashes, several on the same one. A is the count that falls short with a chance of LOSS at most, even for
+a pair at the threshold; this allows fewer parts with more members, which other sets share less often. Linked sets then
+share at least m of the P - A + m parts that come first in an order that both use. That order puts parts with more bits
+first, as parts with few bits say little.
 
 Equal sets meet first (by fingerprint). Sets with fewer than m parts in common with others drop out, and of its parts each
 set may leave out the m - 1 that most sets share. Links are then found in rounds: sets that share a part but are not yet in
@@ -30,7 +33,9 @@ from tallywright.llm.shared import components, mix, small, sorted_groups, stored
 WIDTH = 4  # words in a shingle
 PERCENT = 85  # least Jaccard similarity, in hundredths
 RATIO = 1.4  # of the sizes at a band's ends
-SPARE = 1.25  # parts for each part that may differ
+LOSS = 1e-12  # chance at most that a linked pair has fewer equal parts than a plan counts on
+SUMMED = 1000  # members that differ up to which that chance is summed; above, it is bounded
+LOADS = [x / 20 for x in range(40, 13, -1)]  # members that differ to a part; the first that leaves parts to spare is taken
 BANDS = 128  # low bits of a key that name its band
 SHORT_BITS = 1024  # of the sketches that blocks compare
 ROUNDS = 2  # in which each set is verified against the nearest one of another component, before all the rest are
@@ -74,22 +79,50 @@ def fingerprint(members: np.ndarray) -> int:
     return int(mix(np.array([total ^ np.uint64(len(members))], np.uint64))[0] >> np.uint64(1)) or 1
 
 
-def _plan(allowed: int) -> tuple[int, int]:
-    """Parts of a sketch, and how many of the first ones linked sets share."""
-    parts = int((allowed + 1) * SPARE) + 1
-    return parts, 1 + (parts - allowed - 1) * 4 // 5
-
-
-def _keys(members: np.ndarray, band: int, allowed: int) -> np.ndarray:
+def _equal_parts(parts: int, allowed: int) -> int:
+    """Parts that no member falls on when so many are dealt out by hash, but for a chance of LOSS."""
+    if allowed <= SUMMED:
+        hit, chance = np.arange(parts + 1) / parts, np.zeros(parts + 1)
+        chance[0] = 1
+        for _ in range(allowed):
+            moved = chance * (1 - hit)
+            chance *= hit
+            chance[1:] += moved[:-1]
+        likely = int(np.searchsorted(np.cumsum(chance[::-1]), LOSS, "right"))
+    else:  # Chernoff's bound, which holds as the parts' being free is negatively associated
+        free = (1 - 1 / parts) ** allowed
+        share = np.arange(1, max(2, int(parts * free))) / parts
+        spread = share * np.log(share / free) + (1 - share) * np.log((1 - share) / (1 - free))
+        likely = int(np.count_nonzero(parts * spread >= -np.log(LOSS)))
+    return max(likely, parts - allowed)
+
+
+@lru_cache(512)
+def _plan(allowed: int) -> tuple[int, int, int]:
+    """Parts of a sketch, how many of its first ones linked sets share, and the number of these first ones."""
+    for load in LOADS:
+        parts = max(1, int(allowed / load))
+        # a tenth less than the mean is far below the bound where parts are millions
+        equal = _equal_parts(parts, allowed) if allowed < 1 << 24 else int(parts * np.exp(-load) * 0.9)
+        if equal >= max(3, parts // 20):
+            break
+    else:
+        parts = int((allowed + 1) * 1.25) + 1
+        equal = parts - allowed
+    need = 1 + (equal - 1) // 2
+    return parts, need, parts - equal + need
+
+
+def _keys(members: np.ndarray, band: int, plan: tuple[int, int, int]) -> np.ndarray:
     """Join keys of a set in the comparisons of a band: the first of its parts."""
-    parts, need = _plan(allowed)
+    parts, _, used = plan
     where = (mix(members) >> np.uint64(16)) % np.uint64(parts * 64)
     bits = np.flatnonzero(np.bincount(where.astype(np.int64), minlength=parts * 64) & 1)
     value = np.zeros(parts, np.uint64)
     np.bitwise_or.at(value, bits >> 6, np.uint64(1) << (bits & 63).astype(np.uint64))
     hashed = mix(value ^ mix(np.arange(parts, dtype=np.uint64) * np.uint64(1009) + np.uint64(band)))
     order = np.lexsort((hashed, -np.bincount(bits >> 6, minlength=parts)))
-    return hashed[order[: allowed + need]] & np.uint64(~(BANDS - 1) & ((1 << 64) - 1)) | np.uint64(band)
+    return hashed[order[:used]] & np.uint64(~(BANDS - 1) & ((1 << 64) - 1)) | np.uint64(band)
 
 
 def _sketch(members: np.ndarray, size: int) -> bytes:
@@ -100,6 +133,7 @@ def _sketch(members: np.ndarray, size: int) -> bytes:
 def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(doc_id, fp, n, keys, sketch, short) of all documents."""
     edges, most = bands(percent)
+    plans = [_plan(x) for x in most]
 
     def run(batches):
         starts = np.array(edges)
@@ -116,7 +150,7 @@ def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
                         band = int(np.searchsorted(starts, n, "right")) - 1
                         lower = band and -(-n * percent // 100) < edges[band]  # a linked set may be in the band below
                         used = [k for k in ([band, band - 1] if lower else [band]) if most[k]]
-                    own = [_keys(members, k, most[k]) for k in used]
+                    own = [_keys(members, k, plans[k]) for k in used]
                     keys += own
                     ends.append(ends[-1] + sum(map(len, own)))
                     marks.append(_sketch(members, 1 << max(6, (4 * n - 1).bit_length())) if n else None)
