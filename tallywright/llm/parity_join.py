@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallywright.llm.shared import components, mix, small, sorted_groups, stored, table, word_hashes
+from tallywright.llm.shared import components, mix, release, small, sorted_groups, stored, table, word_hashes
 
 WIDTH = 4  # words in a shingle
 PERCENT = 85  # least Jaccard similarity, in hundredths
@@ -184,6 +184,9 @@ def _allowed(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
             kept = np.flatnonzero(keep)
             yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)[kept]), pa.array(np.array(b, np.int64)[kept])], names=["a", "b"])
 
+    pairs = stored(pairs, "candidates")
+    sides = stored(pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct(), "sides")
+    info = info.join(small(sides), "fp", "left_semi")  # without a shuffle of the sketches that no pair needs
     one = info.select(F.col("fp").alias("a"), F.col("n").alias("n1"), F.col("sketch").alias("s1"))
     two = info.select(F.col("fp").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("s2"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "n1", "n2", "s1", "s2").mapInArrow(run, "a long, b long")
@@ -285,7 +288,11 @@ def linked_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     again = small(stored(again.select(F.col("fp").alias("__fp"), F.col("doc_id").alias("__id")).distinct(), "copies"))
     keyed = filled.select("doc_id", "fp", "keys").join(again, (F.col("fp") == F.col("__fp")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
     buckets = _buckets(keyed.select(F.explode("keys").alias("key"), "fp"), percent)
-    info = stored(filled.select("fp", "n", "sketch", "short").join(small(stored(buckets.select("fp").distinct(), "wanted")), "fp", "left_semi").dropDuplicates(["fp"]), "info")
+    release(docs.sparkSession)
+    # only sets of several documents need a shuffle to leave one row each
+    wanted = stored(buckets.select("fp").distinct().join(owner.select("fp", "copies"), "fp"), "wanted")
+    held = filled.select("fp", "n", "sketch", "short").join(small(wanted), "fp")
+    info = stored(held.where("copies = 1").unionByName(held.where("copies > 1").dropDuplicates(["fp"])).drop("copies"), "info")
     links = docs.sparkSession.createDataFrame([], "a long, b long")
     label = docs.sparkSession.createDataFrame([], "node long, component long")
     tested = links
@@ -293,7 +300,11 @@ def linked_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
         rows = buckets.join(small(label), F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("component", "fp").alias("label"))
         keys = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("low <> high")
         keys = stored(keys.select("key", "size", "a", "b"), "open")
-        rest = rows.join(small(keys.where("size > 2").select("key", "size")), "key").join(info.select("fp", "n", "short"), "fp").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+        rest = rows.join(small(keys.where("size > 2").select("key", "size")), "key")
+        marks = info.select("fp", "n", "short")
+        if turn:
+            marks = marks.join(small(stored(rest.select("fp").distinct(), "left")), "fp", "left_semi")
+        rest = rest.join(marks, "fp").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
         rest = rest.withColumn("block", F.pmod(F.xxhash64("fp", "key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         rest = rest.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "n", "label", "short")
         rest = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
@@ -312,6 +323,7 @@ def linked_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
         tested = tested.unionByName(pairs)
         links = links.unionByName(stored(_verified(pairs, owner, docs, width, percent), "links"))
         label = stored(components(links).select("node", "component"), "labels")
+        release(docs.sparkSession)
     return all_sets.select("doc_id", "fp", "n"), label.select(F.col("node").alias("fp"), F.col("component").alias("root"))
 
 
