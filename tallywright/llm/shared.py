@@ -176,38 +176,58 @@ def sorted_groups(batches, keys: list[str]):
         yield pa.Table.from_batches(held)
 
 
-def _contract(batches):
-    """Links of each half million rows as (node, smallest node that these rows reach)."""
-    for batch in batches:
-        pairs = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
-        nodes, index = np.unique(pairs, return_inverse=True)
-        index = index.reshape(pairs.shape)
-        label = np.arange(len(nodes))
-        while True:
-            low = np.minimum(label[index[0]], label[index[1]])
-            new = label.copy()
-            for side in index:
-                np.minimum.at(new, side, low)
-                np.minimum.at(new, label[side], low)
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
-        moved = np.flatnonzero(label != np.arange(len(nodes)))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], names=["node", "root"])
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(node, component) of every node that has a link; component is its smallest reachable node.
-
-    links: two columns of longs. Each level contracts links batch by batch, keeps each node's smallest root and goes on
-    with the links that this leaves between roots; a few levels suffice, and none gathers a component in one task.
+def _roots(pairs: np.ndarray) -> pa.RecordBatch:
+    """Each node of the pairs with the smallest node that they reach from it, where that is another."""
+    nodes, index = np.unique(pairs, return_inverse=True)
+    index = index.reshape(pairs.shape)
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[index[0]], label[index[1]])
+        new = label.copy()
+        for side in index:
+            np.minimum.at(new, side, low)
+            np.minimum.at(new, label[side], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], names=["node", "root"])
+
+
+def _contract(most: int):
+    """Links of a partition, at most so many at a time, as (node, smallest node that these reach)."""
+
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            if rows + batch.num_rows > most and rows:
+                yield _roots(np.concatenate(held, axis=1))
+                held, rows = [], 0
+            held.append(np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()]))
+            rows += batch.num_rows
+        if rows:
+            yield _roots(np.concatenate(held, axis=1))
+
+    return run
+
+
+def components(links: DataFrame, most: int = 500_000) -> DataFrame:
+    """(node, component) of every node that reaches a smaller one; component is its smallest reachable node.
+
+    links: two columns of longs, of a stored table. Each level contracts them, at most `most` (some 50 MB) in a task, keeps
+    each node's smallest root and goes on with the links that this leaves between roots; a few levels suffice, and no task
+    holds more, however large a component is. A level that fits one task is the last.
     """
     a, b = links.columns
     edges = links.where(F.col(a) != F.col(b)).select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
     levels: list[DataFrame] = []
     while True:
-        star = stored(edges.mapInArrow(_contract, "node long, root long"), "stars")
+        tasks = max(1, -(-edges.count() // most))
+        star = stored(edges.coalesce(tasks).mapInArrow(_contract(most), "node long, root long"), "stars")
+        if tasks == 1:
+            levels.append(star.withColumnRenamed("root", "p"))
+            break
         parent = stored(star.groupBy("node").agg(F.min("root").alias("p")), "parents")
         levels.append(parent)
         left = star.join(parent, "node").where("root <> p").select(F.col("root").alias("u"), F.col("p").alias("v"))

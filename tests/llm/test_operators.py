@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallywright.llm import html_text, interpolated_lm, itq_dedup, langid, latent_decontam, mixing, parity_join, quotes, secrets, warc
+from tallywright.llm import html_text, interpolated_lm, itq_dedup, langid, latent_decontam, mixing, parity_join, quotes, secrets, shared, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 rng = np.random.default_rng(3)
@@ -62,6 +62,21 @@ def test_parity_join(docs, width, percent):
     assert parity_join.near_duplicates(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [500_000, 40])
+def test_components(spark, most):
+    """A long chain, a star, a ring and small pairs, in one task and in many that hold few links each."""
+    chain = [(i, i + 1) for i in range(1000, 1300)]
+    star = [(5000, i) for i in range(4000, 4200)]
+    ring = [(i, 7000 + (i + 1) % 50) for i in range(7000, 7050)]
+    pairs = [(int(a), int(a) + 1) for a in range(9000, 9100, 2)]
+    links = [(x, y) if rng.random() < 0.5 else (y, x) for x, y in chain + star + ring + pairs] + [(3, 3)]
+    table = spark.createDataFrame(links * 2, "a long, b long").repartition(24, "a")
+    got = {r.node: r.component for r in shared.components(table, most).collect()}
+    want = dict.fromkeys(range(1001, 1301), 1000) | dict.fromkeys([*range(4001, 4200), 5000], 4000) | dict.fromkeys(range(7001, 7050), 7000) | {b: a for a, b in pairs}
+    assert got == want
+    assert shared.components(table.limit(0), most).count() == 0
+
+
 def test_parity_sketch_is_a_lower_bound():
     for _ in range(50):
         a = rng.integers(0, 1 << 62, 200).astype(np.uint64)
