@@ -278,6 +278,13 @@ def _buckets(exploded: DataFrame, percent: int) -> DataFrame:
     return stored(_shared(rows), "buckets")
 
 
+def _unsettled(near: DataFrame) -> DataFrame:
+    """(key) of the keys with a candidate other than those that are verified, each set's nearest over all keys: keys in
+    which a set has more than one, or its only one there is not its nearest."""
+    nearest = F.min(F.struct("far", "b")).over(Window.partitionBy("a"))
+    return near.withColumn("nearest", nearest).where(F.col("more") | (F.col("b") != F.col("nearest.b"))).select("key").distinct()
+
+
 def linked_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(members: doc_id, fp, n) and (component: fp, root): the sets of documents and the components of linked sets."""
     all_sets = stored(sketches(docs, width, percent), "sets")
@@ -311,8 +318,7 @@ def linked_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
         pairs = rest.mapInArrow(_blocks(percent, turn < ROUNDS), "key long, a long, b long, far long, more boolean")
         if turn < ROUNDS:
             pairs = stored(pairs, "near")
-            # keys in which all sets have one candidate at most are done with
-            buckets = stored(buckets.join(small(stored(pairs.where("more").select("key").distinct(), "again")), "key", "left_semi"), "buckets")
+            buckets = stored(buckets.join(small(stored(_unsettled(pairs), "again")), "key", "left_semi"), "buckets")
             pairs = pairs.groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b"))
         if not turn:
             pairs = pairs.select("a", "b").unionByName(keys.where("size = 2").select("a", "b"))
