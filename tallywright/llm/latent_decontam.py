@@ -2,15 +2,17 @@
 
 Passages of the benchmark (CELL words) are weighted by TF-IDF, with document frequencies counted over all documents, and a
 distributed randomised SVD gives their latent space: its right singular vectors are found by sketching A'A with random
-vectors, summed over partitions. Windows of 2 * CELL words at every CELL words of each whole document are folded in; a
-window whose cosine to a benchmark passage is at least COSINE is a candidate. A window's share of weight on words that the
-benchmark has bounds its cosine, so that windows below the bound are skipped without loss. The longest common subsequence of
+vectors, summed over partitions. Its rank is the number of a block's passages, so that projection loses nothing, and blocks
+are cut so that this is some PASSAGES. Windows of 2 * CELL words at every CELL words of each whole document are folded in; a
+window whose cosine to a benchmark passage is at least COSINE is a candidate; its norm is that of its words that the benchmark
+has, so that rare words around an item don't hide it. Fold-in and cosine are linear in a window's
+words, so each word's cosines to all passages are kept as one sparse row. The longest common subsequence of
 the item's and the window's surroundings' words, as a share of the item's, then decides: VERBATIM or more is a leak, and
 PARAPHRASE or more is one if the item's answer is there too. The answer is the column `answer`, else the item's rarest words.
 
 Null or empty texts and items without words match nothing. Repeated items or documents give a finding each. A document
 found by several windows gives an item's best one; ties go to the first. An empty benchmark or table gives no finding.
-The benchmark is a stated query set: it is handled in blocks of BLOCK items, each in a pass over the documents.
+The benchmark is a stated query set: PASS blocks are handled in a pass over the documents. An item's passages are in one block.
 """
 
 from __future__ import annotations
@@ -24,15 +26,16 @@ from tallywright.llm.shared import stored, table, word_hashes
 
 CELL = 16
 FEATURE_BITS = 18
-RANK = 512
+PASSAGES = 1024  # of a block, about
+PASS = 16  # blocks in a pass over the documents
 SPARE = 16  # random vectors above the rank
 COSINE = 0.35
+TINY = 1e-4  # a word's least cosine that is kept: what is left out moves a window's by sqrt(2 * CELL) of it at most
 POWER = 2  # of the logarithm of the inverse document frequency in a weight
 VERBATIM = 0.75
 PARAPHRASE = 0.5
 ANSWER = 0.6  # share of the answer's words
 RAREST = 6  # words of an item that stand for a missing answer
-BLOCK = 5_000
 _D = 1 << FEATURE_BITS
 
 
@@ -82,12 +85,19 @@ def _passages(words: np.ndarray) -> list[np.ndarray]:
     return [words[s : s + CELL] for s in starts]
 
 
+def _passage_counts(batches):
+    for batch in batches:
+        _, at = word_hashes(batch.column(0), letters=True)
+        n = int(np.maximum(-(-np.diff(at) // CELL), 0).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+
 def learn_space(items: DataFrame, idf: np.ndarray) -> dict | None:
     """The latent space of the benchmark's passages by a distributed randomised SVD, and the items in it."""
     has_answer = "answer" in items.columns
     rows = items.select("item_id", "text", F.col("answer").cast("string").alias("answer") if has_answer else F.lit(None).cast("string").alias("answer"))
     rows = stored(rows, "items").repartition(4)
-    local = rows.toArrow()  # at most BLOCK items
+    local = rows.toArrow()  # items of some PASSAGES passages
     words, at = word_hashes(local.column("text").combine_chunks(), letters=True)
     texts = [words[a:b] for a, b in zip(at, at[1:], strict=False)]
     answers, at = word_hashes(local.column("answer").combine_chunks(), letters=True)
@@ -96,8 +106,8 @@ def learn_space(items: DataFrame, idf: np.ndarray) -> dict | None:
         return None
     vocabulary = np.unique(_features(words))
     weight = idf[vocabulary].astype(np.float64)
-    count = sum(len(_passages(t)) for t in texts)
-    rank = max(1, min(RANK, count, len(vocabulary)))
+    count = len({p.tobytes() for t in texts for p in _passages(t)})
+    rank = max(1, min(count, len(vocabulary)))
     width = min(len(vocabulary), rank + SPARE)
 
     def matrix(column):
@@ -145,10 +155,22 @@ def learn_space(items: DataFrame, idf: np.ndarray) -> dict | None:
         return None
     if not has_answer:
         answers = [np.unique(t)[np.argsort(-idf[_features(np.unique(t))], kind="stable")[:RAREST]] for t in texts]
-    row_of = np.zeros(_D, np.int32)
-    row_of[vocabulary] = np.arange(1, len(vocabulary) + 1)
-    space = np.concatenate([np.zeros((1, rank)), space]).astype(np.float32)
-    return {"ids": local.column("item_id").to_pylist(), "texts": texts, "answers": answers, "where": np.array(where), "latent": np.array(latent, np.float32), "space": space, "row_of": row_of, "idf": idf}
+    near = space @ np.array(latent).T
+    row, passage = np.nonzero(np.abs(near) >= TINY)
+    return {"ids": local.column("item_id").to_pylist(), "texts": texts, "answers": answers, "where": np.array(where), "feature": vocabulary[row], "passage": passage, "value": near[row, passage].astype(np.float32)}
+
+
+def _merged(models: list[dict], idf: np.ndarray) -> dict:
+    """Blocks as one model, with the rows (passage, value) of each feature from first[feature] on."""
+    items = np.cumsum([0] + [len(m["ids"]) for m in models])
+    passages = np.cumsum([0] + [len(m["where"]) for m in models])
+    feature = np.concatenate([m["feature"] for m in models])
+    order = np.argsort(feature, kind="stable")
+    passage = np.concatenate([m["passage"] + k for m, k in zip(models, passages, strict=False)])[order]
+    value = np.concatenate([m["value"] for m in models])[order]
+    where = np.concatenate([m["where"] + k for m, k in zip(models, items, strict=False)])
+    rows = np.bincount(feature, minlength=_D)
+    return {key: [x for m in models for x in m[key]] for key in ("ids", "texts", "answers")} | {"where": where, "passage": passage, "value": value, "rows": rows, "first": np.cumsum(rows) - rows, "idf": idf}
 
 
 def common_subsequence(item: np.ndarray, region: np.ndarray) -> int:
@@ -169,30 +191,30 @@ def _candidates(model: dict, words: np.ndarray, at: np.ndarray):
     """(document, first word, item, cosine) of the windows near a benchmark passage."""
     feature = _features(words)
     weight = model["idf"][feature]
-    row = model["row_of"][feature]
+    rows = model["rows"][feature]
     counts = -(-np.diff(at) // CELL)
     if not counts.sum():
         return
     doc = np.repeat(np.arange(len(counts)), counts)
     starts = np.repeat(at[:-1] - CELL * (np.cumsum(counts) - counts), counts) + CELL * np.arange(len(doc))
-    square = weight * weight
-    whole = np.add.reduceat(square, starts)
-    known = np.add.reduceat(np.where(row > 0, square, 0), starts)
+    known = np.add.reduceat(np.where(rows > 0, weight * weight, 0), starts)
     after = np.zeros(len(doc), bool)
     after[:-1] = doc[1:] == doc[:-1]
-    whole[:-1] += np.where(after[:-1], whole[1:], 0) if len(doc) > 1 else 0
     known[:-1] += np.where(after[:-1], known[1:], 0) if len(doc) > 1 else 0
     ends = np.minimum(starts + 2 * CELL, at[doc + 1])
-    near = np.flatnonzero((known >= COSINE * COSINE * whole * 0.999) & (known > 0))
-    for a in range(0, len(near), 256):
-        some = near[a : a + 256]
+    near = np.flatnonzero(known > 0)
+    passages = len(model["where"])
+    step = max(1, min(256, (1 << 20) // passages))
+    for a in range(0, len(near), step):
+        some = near[a : a + step]
         sizes = ends[some] - starts[some]
         tokens = np.repeat(starts[some] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        own = np.repeat(np.arange(len(some)), sizes)[row[tokens] > 0]
-        tokens = tokens[row[tokens] > 0]
-        x = np.add.reduceat(model["space"][row[tokens]] * weight[tokens, None], np.flatnonzero(np.diff(own, prepend=-1)))
-        cosine = (x @ model["latent"].T) / np.sqrt(whole[some])[:, None]
-        for w, q in zip(*np.nonzero(cosine >= COSINE), strict=True):
+        n = rows[tokens]
+        place = np.repeat(model["first"][feature[tokens]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        cell = np.repeat(np.repeat(np.arange(len(some)) * passages, sizes), n) + model["passage"][place]
+        cosine = np.bincount(cell, np.repeat(weight[tokens], n) * model["value"][place], len(some) * passages).reshape(-1, passages)
+        cosine /= np.sqrt(known[some])[:, None]
+        for w, q in zip(*np.nonzero(cosine >= COSINE - TINY * (2 * CELL) ** 0.5), strict=True):
             yield int(doc[some[w]]), int(starts[some[w]]), int(model["where"][q]), float(cosine[w, q])
 
 
@@ -208,6 +230,8 @@ def find(model: dict, column: pa.Array):
         seen.add((doc, item, start))
         region = words[max(at[doc], start - len(text)) : min(at[doc + 1], start + 2 * CELL + len(text))]
         lcs = common_subsequence(text, region) / len(text)
+        if lcs < min(VERBATIM, PARAPHRASE):
+            continue
         answer = float(np.isin(model["answers"][item], region).mean()) if len(model["answers"][item]) else 0.0
         if (lcs >= VERBATIM or lcs >= PARAPHRASE and answer >= ANSWER) and (doc, item) not in best or best.get((doc, item), (9,))[0] < lcs:
             best[doc, item] = lcs, cosine, answer
@@ -220,14 +244,15 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, cosine double, lcs double, answer double"
     idf = inverse_frequencies(docs)
-    blocks = -(-items.count() // BLOCK)
+    total = items.select("text").mapInArrow(_passage_counts, "n long").agg(F.sum("n")).first()[0] or 0
+    blocks = -(-total // PASSAGES)
     out = None
-    for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        model = learn_space(part, idf)
-        if model is None:
+    for k in range(0, blocks, PASS):
+        parts = [items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == j) for j in range(k, min(k + PASS, blocks))]
+        models = [m for m in (learn_space(p, idf) for p in parts) if m is not None]
+        if not models:
             continue
-        sent = spark.sparkContext.broadcast(model)  # at most BLOCK items, their words and RANK numbers for each
+        sent = spark.sparkContext.broadcast(_merged(models, idf))  # words of PASS blocks and a few numbers for each
 
         def run(batches, sent=sent):
             for batch in batches:

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tallywright.llm import parity_join
+from tallywright.llm import latent_decontam, parity_join
 
 rng = np.random.default_rng(8)
 
@@ -28,3 +28,26 @@ def test_parity_join_tests_bridges_of_chains(spark, monkeypatch):
     monkeypatch.setattr(parity_join, "_buckets", lambda exploded, percent: met)
     got = {r.doc_id: r.component_id for r in parity_join.near_duplicates(docs).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 6}
+
+
+@pytest.fixture(scope="module")
+def filled_benchmark():
+    """1,200 items of 40 words of a skewed vocabulary, 3,600 passages; texts that hold them whole and in part."""
+    words = np.array(names(6000))
+    share = 1 / np.arange(20, 6020)
+    pick = lambda n: words[rng.choice(6000, n, p=share / share.sum())]
+    items = [pick(40) for _ in range(1200)]
+    texts = []
+    for k in range(0, 1200, 12):
+        for replaced in (0, 8):
+            t = items[k].copy()
+            t[rng.choice(40, replaced, replace=False)] = "other"
+            texts.append((2 * k + bool(replaced), " ".join([*pick(45), *t, *pick(60)])))
+    return [(k, " ".join(t)) for k, t in enumerate(items)], texts
+
+
+def test_decontamination_finds_items_of_a_large_benchmark(spark, filled_benchmark):
+    items, texts = filled_benchmark
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(texts, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in latent_decontam.contaminated(docs, bench).collect()}
+    assert {(i, i // 2) for i, _ in texts} <= got
