@@ -29,7 +29,7 @@ FEATURE_BITS = 18
 PASSAGES = 1024  # of a block, about
 PASS = 16  # blocks in a pass over the documents
 SPARE = 16  # random vectors above the rank
-COSINE = 0.35
+COSINE = 0.15
 TINY = 1e-4  # a word's least cosine that is kept: what is left out moves a window's by sqrt(2 * CELL) of it at most
 POWER = 2  # of the logarithm of the inverse document frequency in a weight
 VERBATIM = 0.75

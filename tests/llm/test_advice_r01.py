@@ -51,3 +51,12 @@ def test_decontamination_finds_items_of_a_large_benchmark(spark, filled_benchmar
     bench, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(texts, "doc_id long, text string")
     got = {(r.doc_id, r.item_id) for r in latent_decontam.contaminated(docs, bench).collect()}
     assert {(i, i // 2) for i, _ in texts} <= got
+
+
+def test_decontamination_finds_short_items_beside_rare_words(spark):
+    common, rare = names(200), names(4000)
+    item = [str(w) for w in rng.choice(common, 15, replace=False)]
+    docs = [(k, " ".join([*rng.choice(common, 60), *rng.choice(rare, 3)])) for k in range(300)]
+    docs.append((1000, " ".join([*rng.choice(rare, 16), *item, *rng.choice(rare, 40)])))
+    got = {(r.doc_id, r.item_id) for r in latent_decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert (1000, 1) in got
