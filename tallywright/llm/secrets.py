@@ -1,12 +1,12 @@
 """Secret scans: a random forest over native features decides which candidates are secrets.
 
-A candidate is a word of 16 characters or more with a letter and a digit; its value is the run of token characters in it
-after any `name=`. The forest's features are the value's length and mix of characters, its transitions between character
+A candidate is a run of 16 token characters or more with a letter and a digit, wherever in a text; a word may hold several, and
+`name=` is part of the context. The forest's features are the value's length and mix of characters, its transitions between character
 classes, the share that dictionary words cover, marks of paths, known prefixes, and the words before and after. It is trained
 on labelled findings (value, before, after, path, label): given ones, of which at most LABELLED are used, or a generated set.
 
-Only DataFrame functions and Spark's own forest are used. Null and empty texts have no candidate. A word that a document
-repeats is one finding, with its first place. Repeated rows give repeated findings. The path is the column `source`, empty if
+Only DataFrame functions and Spark's own forest are used. Null and empty texts have no candidate. A run that a document
+repeats is a finding at each place, judged by the context there. Repeated rows give repeated findings. The path is the column `source`, empty if
 null or missing. An empty table gives no findings. Other columns are ignored by the scan and kept by redacted.
 """
 
@@ -24,9 +24,8 @@ LABELLED = 20_000
 TREES, DEPTH, SEED = 20, 6, 17
 DECIDED = 0.5
 MARK = "[SECRET]"
-GAP = r"[\x20\x09-\x0D]+"
-TOKEN = r"[A-Za-z0-9+/_~][A-Za-z0-9+/_=.~-]{15,}"
-NAMED = r"^[\"'(\[]*[A-Za-z][A-Za-z_.-]{1,39}[\"']?[:=]+[\"']?"
+RUN = r"[A-Za-z0-9+/_~][A-Za-z0-9+/_.~-]{15,}+"
+GROUP = 256  # runs whose lengths are added up at once, so that a text of many runs costs no square
 # Words that speak for or against a secret, known prefixes of keys, and common words in names.
 FOR = r"(?i)(token|secret|passw|pwd|credential|api.?key|apikey|access.?key|private.?key|auth|bearer|client.?key|signing)"
 AGAINST = r"(?i)(commit|sha1|sha256|sha512|md5|checksum|digest|hash|uuid|guid|etag|revision|build|version|isbn|doi|order|invoice|tracking|card|phone|mail|example|sample|dummy|fake|placeholder)"
@@ -111,27 +110,32 @@ def train(findings: DataFrame) -> tuple[VectorAssembler, RandomForestClassificat
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, path, word, value, position, before, after) of the candidates of whole texts."""
+    """(doc_id, path, value, position, before, after) of the candidates of whole texts, one row for each place."""
     path = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
     rows = docs.where(F.col("text").rlike("[0-9]")).select("doc_id", path.alias("path"), "text")
-    long_words = F.array_distinct(F.filter(F.split("text", GAP), lambda w: (F.length(w) >= 16) & w.rlike("[0-9]") & w.rlike("[A-Za-z]")))
-    rows = rows.withColumn("words", long_words).where(F.size("words") > 0)
-
-    found = F.expr("transform(words, w -> named_struct('word', w, 'position', locate(w, text), 'before', substring(text, greatest(locate(w, text) - 48, 1), least(locate(w, text) - 1, 48)), 'after', substring(text, locate(w, text) + length(w), 24)))")
-    rows = rows.select("doc_id", "path", F.explode(found).alias("c")).select("doc_id", "path", "c.*")
-    name = F.regexp_extract("word", NAMED, 0)
-    rest = F.regexp_replace("word", NAMED, "")
-    value = F.regexp_replace(F.regexp_extract(rest, TOKEN, 0), "[.=]+$", "")
-    rows = rows.withColumn("value", value).withColumn("before", F.concat("before", name, F.when(rest.rlike("^[\"'(]"), F.substring(rest, 1, 1)).otherwise("")))
+    found = lambda group: F.regexp_extract_all("text", F.lit(f"(?s).*?({RUN})"), F.lit(group))
+    rows = rows.withColumn("runs", found(1)).where(F.size("runs") > 0).withColumn("sizes", F.transform(found(0), F.length))
+    rows = rows.withColumn("groups", F.expr(f"transform(sequence(0, (size(sizes) - 1) div {GROUP}), g -> slice(sizes, cast(g * {GROUP} + 1 as int), {GROUP}))"))
+    add = "(s, x) -> concat(s, array(element_at(s, -1) + x))"
+    sums = f"aggregate(transform(groups, g -> aggregate(g, 0, (s, x) -> s + x)), cast(array(0) as array<int>), {add})"
+    ends = f"flatten(transform(groups, (g, k) -> slice(aggregate(g, cast(array(bases[k]) as array<int>), {add}), 2, {GROUP})))"
+    rows = rows.withColumn("bases", F.expr(sums)).withColumn("ends", F.expr(ends))
+    pairs = F.filter(F.arrays_zip("runs", "ends"), lambda c: c["runs"].rlike("[0-9]") & c["runs"].rlike("[A-Za-z]"))
+    rows = rows.withColumn("pairs", pairs).where(F.size("pairs") > 0)
+    place = "transform(pairs, c -> named_struct('value', c.runs, 'position', c.ends - length(c.runs) + 1, 'end', c.ends))"
+    rows = rows.withColumn("places", F.expr(place))
+    near = "transform(places, c -> named_struct('value', c.value, 'position', c.position, 'before', substring(text, greatest(c.position - 48, 1), least(c.position - 1, 48)), 'after', substring(text, c.end + 1, 24)))"
+    rows = rows.select("doc_id", "path", F.explode(F.expr(near)).alias("c")).select("doc_id", "path", "c.*")
+    rows = rows.withColumn("value", F.regexp_replace("value", "[.]+$", ""))
     return rows.where((F.length("value") >= 16) & F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]"))
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
-    """(doc_id, word, value, position, score, is_secret) of every candidate."""
+    """(doc_id, value, position, score, is_secret) of every candidate."""
     assembler, forest = train(findings if findings is not None else labelled_findings(docs.sparkSession))
     rows, names = _with_features(candidates(docs))
     scored = forest.transform(assembler.transform(rows)).withColumn("score", vector_to_array("probability")[1])
-    return scored.select("doc_id", "word", "value", "position", "score", (F.col("score") >= DECIDED).alias("is_secret"))
+    return scored.select("doc_id", "value", "position", "score", (F.col("score") >= DECIDED).alias("is_secret"))
 
 
 def redacted(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:

@@ -1,9 +1,11 @@
 """Cases of the review of round 1: each would have failed before."""
 
+import hashlib
+
 import numpy as np
 import pytest
 
-from tallywright.llm import latent_decontam, parity_join
+from tallywright.llm import latent_decontam, parity_join, secrets
 
 rng = np.random.default_rng(8)
 
@@ -60,3 +62,20 @@ def test_decontamination_finds_short_items_beside_rare_words(spark):
     docs.append((1000, " ".join([*rng.choice(rare, 16), *item, *rng.choice(rare, 40)])))
     got = {(r.doc_id, r.item_id) for r in latent_decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
     assert (1000, 1) in got
+
+
+def test_secrets_at_every_place(spark):
+    key, other = hashlib.sha1(b"a").hexdigest(), hashlib.sha1(b"b").hexdigest()
+    texts = {
+        1: f"see https://api.host1.example.com/v1/x?token={key} now",
+        2: f'{{"id":"page-12-of-34-in-a-book","api_key":"{key}","client_secret":"{other}"}}',
+        3: f'commit {key} was merged by the old team, later the new team wrote token = "{key}" there',
+        4: "é " * 30 + " ".join(f"token={hashlib.sha1(bytes([k, 1, j])).hexdigest()}" for k in range(200) for j in range(3)),
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = secrets.scan(df).collect()
+    assert all(texts[r.doc_id][r.position - 1 :].startswith(r.value) for r in found)
+    assert len([r for r in found if r.doc_id == 4]) == 600
+    assert {(r.doc_id, r.value) for r in found if r.is_secret and r.doc_id < 4} == {(1, key), (2, key), (2, other), (3, key)}
+    assert sorted((r.position, r.is_secret) for r in found if r.doc_id == 3) == [(8, False), (texts[3].rindex(key) + 1, True)]
+    assert not any(key in r.text or other in r.text for r in secrets.redacted(df).collect())
