@@ -34,6 +34,19 @@ def year_plan(entities: DataFrame, entity: list[str], probed: DataFrame, seen: D
     return years.join(probed, [*entity, "year"], "left").join(seen, [*entity, "year"], "left").withColumn("action", year_action(F.col("probed"), F.col("seen"), mode))
 
 
+def rough_skip(previous: Column, total: Column, complete: Column) -> Column:
+    """Rough mode skips an entity whose total is that of the previous snapshot, if its last fetch ran to its end."""
+    return F.coalesce((previous.try_cast("long") == total) & complete, F.lit(False))
+
+
+def rough_plan(previous: DataFrame, current: DataFrame, entity: list[str]) -> DataFrame:
+    """(entity..., total, previous, action) of current (entity..., total): `skip_rough` or `fetch`, by the snapshot before
+    (entity..., total, complete), one row an entity."""
+    before = previous.select(*entity, F.col("total").alias("previous"), "complete")
+    action = F.when(rough_skip(F.col("previous"), F.col("total"), F.col("complete")), "skip_rough").otherwise("fetch")
+    return current.select(*entity, "total").join(before, entity, "left").select(*entity, "total", "previous", action.alias("action"))
+
+
 def candidate_years(cached: Column, probed: Column) -> Column:
     """Years of two maps whose counts differ, sorted; null without a histogram, which is not the same as none."""
     differ = F.map_filter(F.map_zip_with(cached, probed, lambda k, a, b: F.coalesce(a, F.lit(0)) != F.coalesce(b, F.lit(0))), lambda k, v: v)

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from tallywright.llm import latent_decontam, parity_join, secrets
+from tallywright.operators import status
 
 rng = np.random.default_rng(8)
 
@@ -79,3 +80,10 @@ def test_secrets_at_every_place(spark):
     assert {(r.doc_id, r.value) for r in found if r.is_secret and r.doc_id < 4} == {(1, key), (2, key), (2, other), (3, key)}
     assert sorted((r.position, r.is_secret) for r in found if r.doc_id == 3) == [(8, False), (texts[3].rindex(key) + 1, True)]
     assert not any(key in r.text or other in r.text for r in secrets.redacted(df).collect())
+
+
+def test_rough_plan(spark):
+    before = spark.createDataFrame([(1, 5, True), (2, 5, True), (3, 5, False), (4, None, True), (6, 0, None)], "id long, total long, complete boolean")
+    now = spark.createDataFrame([(1, 5), (2, 6), (3, 5), (4, 5), (5, 5), (6, 0)], "id long, total long")
+    got = {r.id: r.action for r in status.rough_plan(before, now, ["id"]).collect()}
+    assert got == {1: "skip_rough"} | dict.fromkeys(range(2, 7), "fetch")
