@@ -245,3 +245,25 @@ def test_warc(spark, tmp_path):
     empty = f"file://{tmp_path}/none"
     warc.write_archive(df.limit(0), empty)
     assert warc.read_archive(spark, empty).count() == 0
+
+
+def test_warc_cut_points(spark, tmp_path, monkeypatch):
+    """Over 10,000 shards; a third of the rows without id and many of one id are cut between, whatever the partitions."""
+    monkeypatch.setattr(warc, "SHARD", 100)
+    sizes = spark.range(40_000).select(F.when(F.col("id") % 3 != 0, F.col("id") % 9000 * 10**12).alias("page_id"), F.xxhash64("id").alias("spot"), (F.col("id") % 50 + 1).alias("n"))
+    cuts, size = warc.cut_points(sizes)
+    assert len(cuts) > 10_000 - 3 and size == 100 and cuts == warc.cut_points(sizes.repartition(7))[0]
+    got = sizes.withColumn("shard", warc._shard_of(spark, cuts)).groupBy("shard").agg(F.sum("n").alias("n"), F.count_if(F.col("page_id").isNull()).alias("nulls")).collect()
+    assert max(r.n for r in got) < 2 * size and sum(r.nulls > 0 for r in got) > 3000
+    rows = [(None if k % 3 else 5, f"http://h/{k % 40}", "x" * (k % 30)) for k in range(200)] + [(2**62, "u", "big" * 200), (-(2**62), "v", "big" * 200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    seen = []
+    for name in ("one", "two"):
+        folder = f"file://{tmp_path}/{name}"
+        manifest = warc.write_archive(pages.repartition(3 if name == "one" else 5), folder)
+        seen.append(sorted((r.file, r.sha256) for r in manifest.collect()))
+        got = warc.read_archive(spark, folder).collect()
+        assert len(got) == len(rows) and all(r.valid for r in got)
+        assert {(r.page_id, r.record_type, r.refers_to) for r in got if r.payload_bytes == 600} == {(-(2**62), "response", None), (2**62, "revisit", -(2**62))}
+    assert seen[0] == seen[1] and len(seen[0]) > 30
+    assert sorted(x.name for x in (tmp_path / "one").iterdir() if x.is_dir()) == ["_manifest"]
