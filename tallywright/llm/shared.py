@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -12,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 CHUNK = 1 << 20  # bytes hashed at once
 _POWERS: list[np.ndarray] = []
 _BASE = 0x9E3779B97F4A7C15
@@ -27,17 +27,27 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str, whole_files: bool = False) -> DataFrame:
-    """df written to the shared folder and read again: cuts the lineage and survives lost executors.
+    """df written to the shared folder and read again: cuts the lineage and survives lost executors. Once the table is
+    written, nothing can need the shuffle files that led to it, and Spark deletes them at once.
     whole_files: each partition becomes one row group, which no later read splits."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.options(**{"parquet.block.size": (1 << 31) - 1} if whole_files else {}).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps, which it does once the driver has collected its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.options(**{"parquet.block.size": (1 << 31) - 1} if whole_files else {}).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing will read again."""
+    for df in tables:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.folder)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:

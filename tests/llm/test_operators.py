@@ -138,9 +138,49 @@ def test_language_model(docs):
     assert interpolated_lm.score_documents(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("batch", [1_500_000, 300])
+def test_language_model_scores(docs, monkeypatch, batch):
+    """Scores in double precision and learned weights against a plain model; a very common pair, many batches and buckets."""
+    monkeypatch.setattr(interpolated_lm, "BATCH", batch)
+    monkeypatch.setattr(interpolated_lm, "BUCKET", 20_000)
+    common = docs.sparkSession.createDataFrame([(1000 + k, "very common " * 50, None, None, 0) for k in range(20)], SCHEMA)
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(common).withColumn("score", F.lit("clash"))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    token = [(t or "").encode().lower().split() + [None] for _, t in rows]
+    fold = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 for i, _ in rows]
+    one, two = [Counter() for _ in range(2)], [Counter() for _ in range(2)]
+    for ws, f in zip(token, fold, strict=True):
+        for part in (0, 1):
+            if f != 2 and not (part == 0 and f == 3):
+                one[part].update(ws)
+                two[part].update(zip([None, *ws], ws))
+    n, v = [sum(x.values()) for x in one], len(one[1])
+    level = lambda c: 1 + int(math.log2(c)) if c else 0
+    estimates = lambda part, h, w: (two[part][h, w] / one[part][h] if one[part][h] else 0.0, one[part][w] / n[part], 1 / (v + 1))
+    weights = {}
+    held = [(level(one[0][h]), estimates(0, h, w)) for ws, f in zip(token, fold, strict=True) if f == 3 for h, w in zip([None, *ws], ws)]
+    for k in {k for k, _ in held}:
+        mixed, own = np.array([0.0, 0.8, 0.2] if k == 0 else [0.4, 0.4, 0.2]), np.array([e for j, e in held if j == k])
+        for _ in range(80):
+            part = own * mixed
+            mixed = (part / part.sum(1)[:, None]).sum(0) + [0.01 * (k > 0), 0.01, 0.01]
+            mixed /= mixed.sum()
+        weights[k] = mixed
+    learned = []
+    learn = interpolated_lm.learn_weights
+    monkeypatch.setattr(interpolated_lm, "learn_weights", lambda *a: learned.append(learn(*a)) or learned[-1])
+    got = sorted((str(r.doc_id), r.n_tokens, r.score) for r in interpolated_lm.score_documents(docs).collect())
+    for k, w in weights.items():
+        assert learned[0][k] == pytest.approx(w, abs=0.01)
+    score = lambda h, w: math.log10(np.dot(learned[0][level(one[1][h])], estimates(1, h, w)))
+    want = sorted((str(i), len(ws), sum(score(h, w) for h, w in zip([None, *ws], ws))) for (i, _), ws in zip(rows, token, strict=True))
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want], rel=1e-10)
+
+
 def test_weights_sum_to_one():
-    w = interpolated_lm.learn_weights([(3 << 20 | 210 << 10 | 205, 50), (0 << 20 | 0 << 10 | 220, 7)])
-    assert w.sum(1) == pytest.approx(np.ones(len(w))) and w[0, 0] == 0
+    w = interpolated_lm.learn_weights(np.array([3, 0]), np.array([50, 7]), np.array([0.2, 0.0]), np.array([0.1, 0.3]), 0.01)
+    assert w.sum(1) == pytest.approx(np.ones(len(w))) and w[0, 0] == 0 and (w[4:] == w[3]).all()
 
 
 def test_decontamination(spark):
