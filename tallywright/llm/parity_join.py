@@ -1,22 +1,21 @@
 """Jaccard join of word n-gram sets by parity sketches.
 
-XOR-ing one-hot hashes of a set's members gives a bit sketch; where two sketches differ, a member of the symmetric
-difference has been hashed, so their Hamming distance is at most the size of that difference. Two sets of sizes a and b
-with Jaccard similarity t or more differ in at most (1 - t) / (1 + t) * (a + b) members, D for a band of sizes. A sketch is
-cut into P parts, of which A agree in linked sets: P - D by the pigeonhole principle alone, and more as the D members fall
-on parts by their hashes, several on the same one. A is the count that falls short with a chance of LOSS at most, even for
-a pair at the threshold; this allows fewer parts with more members, which other sets share less often. Linked sets then
-share at least m of the P - A + m parts that come first in an order that both use. That order puts parts with more bits
-first, as parts with few bits say little.
+XOR-ing hashes of a set's members into the parts of a sketch makes two sketches differ in a part only where a member of the
+symmetric difference falls. Two sets of sizes a and b with Jaccard similarity t or more differ in at most
+(1 - t) / (1 + t) * (a + b) members, D for a band of sizes. A sketch is cut into P > D parts; by the pigeonhole principle
+linked sets agree in at least A = P - D of them. They then share at least m of the P - A + m parts that come first in an
+order that is the same for equal parts: that of part size, so that parts with few members, which say little, come last. A
+part's key is the XOR of its members' 64-bit hashes, so that only sets with the same members there share it. One-hot bits
+instead of hashes give the sketches whose Hamming distance bounds a pair's symmetric difference from below.
 
 Equal sets meet first (by fingerprint). Sets with fewer than m parts in common with others drop out, and of its parts each
 set may leave out the m - 1 that most sets share. Links are then found in rounds: sets that share a part but are not yet in
-one component are compared by sketch, in blocks; each is verified against the nearest one; in the last round against all
-that are left. Before a text is read, longer sketches must allow the link.
+one component are compared by sketch, in blocks; while there are many such pairs, each set is verified against its nearest
+one only, and in the last round against all that are left. Before a text is read, longer sketches must allow the link.
 
 Defined cases: null and empty texts and texts without words have no set, link with nothing and are a component each. A
-null id is treated as smaller than all others in no result: it is never a component's id unless all its ids are null.
-Repeated rows are equal sets. Extra columns are ignored by the join and kept by keep_first.
+null id is never a component's id unless all its ids are null. Repeated rows are equal sets. Very long texts are hashed
+whole. Extra columns are ignored by the join and kept by keep_first, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,17 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallywright.llm.shared import components, mix, small, sorted_groups, stored, table, word_hashes
+from tallywright.llm.shared import components, discard, mix, sorted_groups, stored, table, word_hashes
 
 WIDTH = 4  # words in a shingle
 PERCENT = 85  # least Jaccard similarity, in hundredths
 RATIO = 1.4  # of the sizes at a band's ends
-LOSS = 1e-12  # chance at most that a linked pair has fewer equal parts than a plan counts on
-SUMMED = 1000  # members that differ up to which that chance is summed; above, it is bounded
-LOADS = [x / 20 for x in range(40, 13, -1)]  # members that differ to a part; the first that leaves parts to spare is taken
+SPARE = 0.12  # parts above D, as a share of D
 BANDS = 128  # low bits of a key that name its band
 SHORT_BITS = 1024  # of the sketches that blocks compare
-ROUNDS = 2  # in which each set is verified against the nearest one of another component, before all the rest are
+ROUNDS = 3  # at most in which each set is verified against the nearest one of another component, before all the rest are
+FEW = 100  # comparisons for each row, up to which all the rest are
 BLOCK = 1024  # sets on either side of a block of comparisons
 STAR = 512  # sets verified against one other in a task
 
@@ -79,50 +77,24 @@ def fingerprint(members: np.ndarray) -> int:
     return int(mix(np.array([total ^ np.uint64(len(members))], np.uint64))[0] >> np.uint64(1)) or 1
 
 
-def _equal_parts(parts: int, allowed: int) -> int:
-    """Parts that no member falls on when so many are dealt out by hash, but for a chance of LOSS."""
-    if allowed <= SUMMED:
-        hit, chance = np.arange(parts + 1) / parts, np.zeros(parts + 1)
-        chance[0] = 1
-        for _ in range(allowed):
-            moved = chance * (1 - hit)
-            chance *= hit
-            chance[1:] += moved[:-1]
-        likely = int(np.searchsorted(np.cumsum(chance[::-1]), LOSS, "right"))
-    else:  # Chernoff's bound, which holds as the parts' being free is negatively associated
-        free = (1 - 1 / parts) ** allowed
-        share = np.arange(1, max(2, int(parts * free))) / parts
-        spread = share * np.log(share / free) + (1 - share) * np.log((1 - share) / (1 - free))
-        likely = int(np.count_nonzero(parts * spread >= -np.log(LOSS)))
-    return max(likely, parts - allowed)
-
-
 @lru_cache(512)
 def _plan(allowed: int) -> tuple[int, int, int]:
     """Parts of a sketch, how many of its first ones linked sets share, and the number of these first ones."""
-    for load in LOADS:
-        parts = max(1, int(allowed / load))
-        # a tenth less than the mean is far below the bound where parts are millions
-        equal = _equal_parts(parts, allowed) if allowed < 1 << 24 else int(parts * np.exp(-load) * 0.9)
-        if equal >= max(3, parts // 20):
-            break
-    else:
-        parts = int((allowed + 1) * 1.25) + 1
-        equal = parts - allowed
+    equal = max(3, int(allowed * SPARE))
     need = 1 + (equal - 1) // 2
-    return parts, need, parts - equal + need
+    return allowed + equal, need, allowed + need
 
 
 def _keys(members: np.ndarray, band: int, plan: tuple[int, int, int]) -> np.ndarray:
     """Join keys of a set in the comparisons of a band: the first of its parts."""
     parts, _, used = plan
-    where = (mix(members) >> np.uint64(16)) % np.uint64(parts * 64)
-    bits = np.flatnonzero(np.bincount(where.astype(np.int64), minlength=parts * 64) & 1)
+    hashed = mix(members)
+    where = ((hashed >> np.uint64(16)) % np.uint64(parts)).astype(np.int64)
     value = np.zeros(parts, np.uint64)
-    np.bitwise_or.at(value, bits >> 6, np.uint64(1) << (bits & 63).astype(np.uint64))
-    hashed = mix(value ^ mix(np.arange(parts, dtype=np.uint64) * np.uint64(1009) + np.uint64(band)))
-    order = np.lexsort((hashed, -np.bincount(bits >> 6, minlength=parts)))
-    return hashed[order[:used]] & np.uint64(~(BANDS - 1) & ((1 << 64) - 1)) | np.uint64(band)
+    np.bitwise_xor.at(value, where, mix(hashed + np.uint64(band)))
+    value = mix(value ^ mix(np.arange(parts, dtype=np.uint64) * np.uint64(1009) + np.uint64(band)))
+    order = np.lexsort((value, -np.bincount(where, minlength=parts)))
+    return value[order[:used]] & np.uint64(~(BANDS - 1) & ((1 << 64) - 1)) | np.uint64(band)
 
 
 def _sketch(members: np.ndarray, size: int) -> bytes:
@@ -186,7 +158,7 @@ def _allowed(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
 
     pairs = stored(pairs, "candidates")
     sides = stored(pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct(), "sides")
-    info = info.join(small(sides), "fp", "left_semi")  # without a shuffle of the sketches that no pair needs
+    info = info.join(sides, "fp", "left_semi")
     one = info.select(F.col("fp").alias("a"), F.col("n").alias("n1"), F.col("sketch").alias("s1"))
     two = info.select(F.col("fp").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("s2"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "n1", "n2", "s1", "s2").mapInArrow(run, "a long, b long")
@@ -199,7 +171,7 @@ def _verified(pairs: DataFrame, owner: DataFrame, docs: DataFrame, width: int, p
     members = pairs.join(heads, "a").select("a", F.pmod(F.xxhash64("b"), F.col("slots")).cast("int").alias("slot"), F.col("b").alias("fp"), F.lit(1).alias("side"))
     firsts = heads.select("a", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.col("a").alias("fp"), F.lit(0).alias("side"))
     wanted = members.unionByName(firsts)
-    ids = small(stored(owner.join(wanted.select("fp").distinct(), "fp", "left_semi").select("fp", F.col("doc_id").alias("__id")), "ids"))
+    ids = stored(owner.join(wanted.select("fp").distinct(), "fp", "left_semi").select("fp", F.col("doc_id").alias("__id")), "ids")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(ids, F.col("doc_id").eqNullSafe(F.col("__id"))).select("fp", "text")
     rows = wanted.join(texts, "fp").select("a", "slot", "side", "fp", "text")
     rows = rows.repartition("a", "slot").sortWithinPartitions("a", "slot", "side")
@@ -286,49 +258,60 @@ def _unsettled(near: DataFrame) -> DataFrame:
 
 
 def linked_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(members: doc_id, fp, n) and (component: fp, root): the sets of documents and the components of linked sets."""
+    """(members: doc_id, fp, n) and (component: fp, root): the sets of documents and the components of linked sets.
+    Joins with stored tables are broadcast by Spark's own threshold of bytes, and shuffled above it."""
     all_sets = stored(sketches(docs, width, percent), "sets")
     filled = all_sets.where("n > 0")
     owner = stored(filled.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "owners")
     # copies need not be joined: what is left of a set are the rows with its smallest id
     again = filled.select("fp", "doc_id").join(owner.where("copies > 1").select("fp", F.col("doc_id").alias("__id")), "fp").where("not doc_id <=> __id")
-    again = small(stored(again.select(F.col("fp").alias("__fp"), F.col("doc_id").alias("__id")).distinct(), "copies"))
+    again = stored(again.select(F.col("fp").alias("__fp"), F.col("doc_id").alias("__id")).distinct(), "copies")
     keyed = filled.select("doc_id", "fp", "keys").join(again, (F.col("fp") == F.col("__fp")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
     buckets = _buckets(keyed.select(F.explode("keys").alias("key"), "fp"), percent)
     # only sets of several documents need a shuffle to leave one row each
     wanted = stored(buckets.select("fp").distinct().join(owner.select("fp", "copies"), "fp"), "wanted")
-    held = filled.select("fp", "n", "sketch", "short").join(small(wanted), "fp")
+    held = filled.select("fp", "n", "sketch", "short").join(wanted, "fp")
     info = stored(held.where("copies = 1").unionByName(held.where("copies > 1").dropDuplicates(["fp"])).drop("copies"), "info")
-    links = docs.sparkSession.createDataFrame([], "a long, b long")
-    label = docs.sparkSession.createDataFrame([], "node long, component long")
-    tested = links
+    members = stored(all_sets.select("doc_id", "fp", "n"), "members")
+    discard(all_sets, wanted)
+    links = None
+    label = stored(docs.sparkSession.createDataFrame([], "node long, component long"), "labels")
+    tested = None
     for turn in range(ROUNDS + 1):
-        rows = buckets.join(small(label), F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("component", "fp").alias("label"))
+        rows = buckets.join(label, F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("component", "fp").alias("label"))
         keys = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("low <> high")
         keys = stored(keys.select("key", "size", "a", "b"), "open")
-        rest = rows.join(small(keys.where("size > 2").select("key", "size")), "key")
+        n, comparisons = keys.where("size > 2").agg(F.sum("size"), F.sum(F.col("size") * (F.col("size") - 1) / 2)).first()
+        nearest = turn < ROUNDS and (n or 0) > 0 and (not turn or comparisons > FEW * n)
+        rest = rows.join(keys.where("size > 2").select("key", "size"), "key")
         marks = info.select("fp", "n", "short")
         if turn:
-            marks = marks.join(small(stored(rest.select("fp").distinct(), "left")), "fp", "left_semi")
+            marks = marks.join(rest.select("fp").distinct(), "fp", "left_semi")
         rest = rest.join(marks, "fp").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
         rest = rest.withColumn("block", F.pmod(F.xxhash64("fp", "key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         rest = rest.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "n", "label", "short")
         rest = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        pairs = rest.mapInArrow(_blocks(percent, turn < ROUNDS), "key long, a long, b long, far long, more boolean")
-        if turn < ROUNDS:
-            pairs = stored(pairs, "near")
-            buckets = stored(buckets.join(small(stored(_unsettled(pairs), "again")), "key", "left_semi"), "buckets")
-            pairs = pairs.groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b"))
+        near = stored(rest.mapInArrow(_blocks(percent, nearest), "key long, a long, b long, far long, more boolean"), "near")
+        pairs = near.groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b")) if nearest else near
+        pairs = pairs.select("a", "b")
         if not turn:
-            pairs = pairs.select("a", "b").unionByName(keys.where("size = 2").select("a", "b"))
-        pairs = pairs.select("a", "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+            pairs = pairs.unionByName(keys.where("size = 2").select("a", "b"))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(_allowed(pairs, info, percent), "pairs")
-        if pairs.isEmpty():
-            continue
-        tested = tested.unionByName(pairs)
-        links = links.unionByName(stored(_verified(pairs, owner, docs, width, percent), "links"))
-        label = stored(components(links).select("node", "component"), "labels")
-    return all_sets.select("doc_id", "fp", "n"), label.select(F.col("node").alias("fp"), F.col("component").alias("root"))
+        if not pairs.isEmpty():
+            tested = pairs if tested is None else tested.unionByName(pairs)
+            found = stored(_verified(pairs, owner, docs, width, percent), "links")
+            links = found if links is None else links.unionByName(found)
+            label = stored(components(links).select("node", "component"), "labels")
+        if not nearest:
+            break
+        kept = stored(buckets.join(_unsettled(near), "key", "left_semi"), "buckets")
+        discard(buckets, keys, near)
+        buckets = kept
+    discard(buckets, info)
+    return members, label.select(F.col("node").alias("fp"), F.col("component").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -341,11 +324,40 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     return found.unionByName(members.where("fp = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def _one_row_each(docs: DataFrame) -> DataFrame:
+    """docs with one row for each id, the one that sorts first, and for each text without id. The rows of an id are folded
+    before they are shuffled, so that no id is hot."""
+    key = [F.col("doc_id").alias("__id"), F.when(F.col("doc_id").isNull(), F.md5("text")).alias("__text")]
+    again = stored(docs.groupBy(*key).agg(F.count("*").alias("__n")).where("__n > 1").select("__id", "__text"), "repeated")
+    if again.isEmpty():
+        return docs
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.when(F.col("doc_id").isNull(), F.md5("text")).eqNullSafe(F.col("__text"))
+    one = docs.join(again, same, "left_semi").groupBy(*key).agg(F.min(F.struct("text", *[c for c in docs.columns if c != "text"])).alias("__row"))
+    return docs.join(again, same, "left_anti").unionByName(one.select("__row.*").select(docs.columns))
+
+
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the documents of a component other than that with the smallest id; of its repeated rows one stays."""
-    kept = near_duplicates(docs, width, percent).where("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return out
+    """docs without the documents of a component other than that with the smallest id. Of rows that share an id, and of equal
+    texts without id, one stays; a document without id stays if its component has no id."""
+    docs = _one_row_each(docs)
+    found = near_duplicates(docs, width, percent)
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id"))
+    out = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__id"), "left_semi")
+    lonely = docs.where("doc_id is null")
+    if lonely.isEmpty():
+        return out
+    return out.unionByName(_without_id(docs, lonely, width, percent))
+
+
+def _without_id(docs: DataFrame, lonely: DataFrame, width: int, percent: int) -> DataFrame:
+    """Of documents without id, one of each component that has no id, the one whose text sorts first."""
+    numbered = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit("no id"), "text")).alias("doc_id"), "text", F.col("doc_id").isNull().alias("__lonely"))
+    known = near_duplicates(numbered, width, percent).withColumnRenamed("doc_id", "__number")
+    texts = lonely.withColumn("__number", F.xxhash64(F.lit("no id"), "text"))
+    ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("__number")).join(known, "__number").select("component_id").distinct()
+    alone = known.join(texts.select("__number"), "__number", "left_semi").join(ids, "component_id", "left_anti")
+    first = texts.join(alone, "__number").groupBy("component_id").agg(F.min(F.struct("text", "__number")).alias("__first"))
+    return texts.join(first.select(F.col("__first.__number").alias("__number")), "__number", "left_semi").select(docs.columns)
 
 
 def op7_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:

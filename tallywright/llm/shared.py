@@ -44,8 +44,10 @@ def stored(df: DataFrame, name: str, whole_files: bool = False) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes stored tables that nothing will read again."""
+    """Deletes those of tables that are stored ones; nothing may read them again."""
     for df in tables:
+        if "folder" not in df.__dict__:
+            continue
         path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.folder)
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -307,3 +307,42 @@ def test_warc_cut_points(spark, tmp_path, monkeypatch):
         assert {(r.page_id, r.record_type, r.refers_to) for r in got if r.payload_bytes == 600} == {(-(2**62), "response", None), (2**62, "revisit", -(2**62))}
     assert seen[0] == seen[1] and len(seen[0]) > 30
     assert sorted(x.name for x in (tmp_path / "one").iterdir() if x.is_dir()) == ["_manifest"]
+
+
+def test_keep_first(spark):
+    """Repeated rows and ids, texts without id, and a clashing column; many nearest rounds."""
+    a, b, c = text(60), text(60), text(60)
+    rows = [(1, a, 0), (1, a, 0), (2, a, 0), (None, a, 0), (None, b, 0), (None, b, 0), (None, b + " x", 0), (7, c, 1), (7, c + " and more", 0), (8, None, 0), (9, "", 0), (None, None, 0), (None, None, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    got = sorted(((r.doc_id, r.text) for r in parity_join.keep_first(df).collect()), key=str)
+    assert got == sorted([(1, a), (None, b), (7, c), (8, None), (9, ""), (None, None)], key=str)
+    assert parity_join.keep_first(df.where("doc_id is not null")).count() == 4 and parity_join.keep_first(df.limit(0)).count() == 0
+
+
+def test_parity_join_of_a_large_group(spark, monkeypatch):
+    """600 near copies of one text, each with its own changes, among others: one component by whatever rounds."""
+    base = [str(w) for w in rng.choice(WORDS, 150)]
+    rows = []
+    for k in range(600):
+        w = base.copy()
+        w[int(rng.integers(150))] = f"v{k}"
+        rows.append((k, " ".join(w)))
+    rows += [(1000 + k, text(80)) for k in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for few in (100, 10**9, 0):
+        monkeypatch.setattr(parity_join, "FEW", few)
+        got = {r.doc_id: r.component_id for r in parity_join.near_duplicates(df).collect()}
+        assert got == {k: 0 if k < 600 else k for k, _ in rows}
+
+
+def test_parts_of_linked_sets_agree():
+    """The pigeonhole's promise: sets at the threshold share at least `need` of their keys in the smaller one's band."""
+    edges, most = parity_join.bands(80)
+    for n in (5, 12, 60, 300, 2000):
+        for _ in range(30):
+            band = int(np.searchsorted(edges, n, "right")) - 1
+            plan = parity_join._plan(most[band])
+            gone = int(rng.integers(0, n // 9 + 1))
+            members = rng.integers(0, 1 << 62, n + gone).astype(np.uint64)
+            one, two = members[:n], members[gone:]
+            assert (n - gone) / (n + gone) >= 0.8 and len(set(parity_join._keys(one, band, plan)) & set(parity_join._keys(two, band, plan))) >= plan[1]
