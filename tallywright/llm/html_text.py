@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tallywright.llm.shared import small, stored, table
+from tallywright.llm.shared import lean, small, stored, table
 
 MIN_PAGES = 5
 MIN_TAGS = 3
@@ -202,7 +202,7 @@ def _vectors(batches):
 def templates(pages: DataFrame) -> DataFrame:
     """(host, template): the text tokens of each host's template. Vectors add up in 64 bits and wrap."""
     seen = pages.where("html is not null and html <> ''").select(_host().alias("host"), "html")
-    tokens = seen.mapInArrow(_vectors, _VECTORS)
+    tokens = seen.mapInArrow(lean(_vectors), _VECTORS)
     parts = tokens.groupBy("host", "token", "is_text").agg(F.sum(F.col("vector").cast("decimal(38,0)")).alias("v"), F.sum("n").alias("n"))
     classes = stored(parts.where(f"n >= {MIN_PAGES}").withColumn("vector", F.pmod("v", F.lit("18446744073709551616").cast("decimal(38,0)"))).select("host", "token", "is_text", "vector", "n"), "tokens")
     valid = classes.where("not is_text").groupBy("host", "vector").agg(F.count("*").alias("tags")).where(f"tags >= {MIN_TAGS}")
@@ -223,7 +223,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts = [main_text(h, frozenset(t or ())) for h, t in zip(piece.column(len(fields)).to_pylist(), piece.column(len(fields) + 1).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*piece.columns[: len(fields)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*(f.name for f in fields), "text", "n_chars"])
 
-    return rows.mapInArrow(run, StructType([*fields, StructField("text", StringType()), StructField("n_chars", LongType())]))
+    return rows.mapInArrow(lean(run), StructType([*fields, StructField("text", StringType()), StructField("n_chars", LongType())]))
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm.shared import discard, id_bucket, mix, stored, table, word_hashes
+from tallywright.llm.shared import discard, id_bucket, lean, mix, stored, table, word_hashes
 
 FOLDS, TEST, HELD = 7, 2, 3
 BATCH = 1_500_000  # tokens of a batch
@@ -283,9 +283,9 @@ def counted_batches(docs: DataFrame) -> tuple[DataFrame, tuple[int, int, int]]:
     size = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     buckets = max(1, -(-size // BUCKET))
     # documents and tokens take the buckets' shuffle too, one after another by batch
-    packed = rows.mapInArrow(_pack(buckets), ROWS).withColumn("part", F.when(F.col("bucket") < buckets, F.col("bucket")).otherwise(F.pmod("batch", F.lit(buckets)).cast("int")))
+    packed = rows.mapInArrow(lean(_pack(buckets)), ROWS).withColumn("part", F.when(F.col("bucket") < buckets, F.col("bucket")).otherwise(F.pmod("batch", F.lit(buckets)).cast("int")))
     packed = packed.repartitionById(buckets, F.col("part")).sortWithinPartitions("bucket").drop("part")
-    added = stored(packed.mapInArrow(_add(buckets), ROWS), "totals")
+    added = stored(packed.mapInArrow(lean(_add(buckets)), ROWS), "totals")
     sums = added.where("batch = -1").agg(F.sum("first"), F.sum("held"), F.sum("distinct")).first()
     both = added.where("batch >= 0").repartition("batch").sortWithinPartitions("batch", "bucket")
     whole = stored(both, "batches", whole_files=True)  # so that a task reads all of a batch
@@ -296,10 +296,10 @@ def counted_batches(docs: DataFrame) -> tuple[DataFrame, tuple[int, int, int]]:
 def score_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of rows (doc_id, text)."""
     batches, (first, held, distinct) = counted_batches(docs)
-    cells = batches.mapInArrow(_histogram(first), CELLS).groupBy("cell").agg(F.sum("n").alias("n"), F.sum("two").alias("two"), F.sum("one").alias("one")).toArrow()
+    cells = batches.mapInArrow(lean(_histogram(first)), CELLS).groupBy("cell").agg(F.sum("n").alias("n"), F.sum("two").alias("two"), F.sum("one").alias("one")).toArrow()
     cell, n, two, one = (cells.column(k).to_numpy() for k in range(4))
     weights = learn_weights(cell >> 20, n, two / n, one / n, 1.0 / (distinct + 1))
-    out = batches.mapInArrow(_score(weights, first + held, distinct), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = batches.mapInArrow(lean(_score(weights, first + held, distinct)), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(first + held).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm.shared import components, small, sorted_groups, stored, table
+from tallywright.llm.shared import components, lean, small, sorted_groups, stored, table
 
 LEAST = 0.98
 FIT = 20_000  # vectors that rotations are learned on
@@ -124,14 +124,14 @@ def near_duplicates(vectors: DataFrame, bits: int = BITS) -> DataFrame:
                 codes.append((signs.reshape(TABLES, bits) @ weights).tolist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.list_(pa.int64()))], names=["vec", "code"])
 
-    codes = stored(unique.select("vec", "embedding").mapInArrow(encode, "vec long, code array<long>"), "codes")
+    codes = stored(unique.select("vec", "embedding").mapInArrow(lean(encode), "vec long, code array<long>"), "codes")
     keyed = unique.select("vec", "label", "embedding", "copies", F.size("embedding").alias("width")).join(codes, "vec").select("*", F.posexplode("code").alias("place", "value"))
     key = ["label", "width", "place", "value"]
     sizes = small(stored(keyed.groupBy(*key).agg(F.count("*").alias("size")).where("size > 1"), "sizes"))
     keyed = keyed.join(sizes, key).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("vec"), F.col("blocks")).cast("int"))
     keyed = keyed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     keyed = keyed.select(*key, "i", "j", "block", "vec", "copies", "code", "embedding").repartition(*key, "i", "j").sortWithinPartitions(*key, "i", "j")
-    found = stored(keyed.mapInArrow(_compare, "vec long, links long, other long"), "found")
+    found = stored(keyed.mapInArrow(lean(_compare), "vec long, links long, other long"), "found")
     links = found.groupBy("vec").agg(F.sum("links").alias("links"))
     roots = components(found.where("vec <> other").select("vec", "other")).withColumnRenamed("node", "vec")
     sets = unique.join(links, "vec", "left").join(roots, "vec", "left").withColumn("root", F.coalesce("component", "vec"))

@@ -10,8 +10,8 @@ instead of hashes give the sketches whose Hamming distance bounds a pair's symme
 
 Equal sets meet first (by fingerprint). Sets with fewer than m parts in common with others drop out, and of its parts each
 set may leave out the m - 1 that most sets share. Links are then found in rounds: sets that share a part but are not yet in
-one component are compared by sketch, in blocks; while there are many such pairs, each set is verified against its nearest
-one only, and in the last round against all that are left. Before a text is read, longer sketches must allow the link.
+one component are compared by sketch, in blocks; while there are many such pairs, each set is verified against the nearest
+one of a smaller label only, and in the last round against all that are left. Before a text is read, longer sketches must allow the link.
 
 Defined cases: null and empty texts and texts without words have no set, link with nothing and are a component each. A
 null id is never a component's id unless all its ids are null. Repeated rows are equal sets. Very long texts are hashed
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallywright.llm.shared import components, discard, mix, sorted_groups, stored, table, word_hashes
+from tallywright.llm.shared import components, discard, lean, mix, sorted_groups, stored, table, word_hashes
 
 WIDTH = 4  # words in a shingle
 PERCENT = 85  # least Jaccard similarity, in hundredths
@@ -110,8 +110,8 @@ def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
     def run(batches):
         starts = np.array(edges)
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                piece = batch.slice(a, 1000)
+            for a in range(0, batch.num_rows, 250):
+                piece = batch.slice(a, 250)
                 fps, sizes, keys, ends, marks, shorts = [], [], [], [0], [], []
                 for members in _sets(*word_hashes(piece.column(1)), width):
                     n = len(members)
@@ -134,7 +134,7 @@ def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     names=["doc_id", "fp", "n", "keys", "sketch", "short"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long, n long, keys array<long>, sketch binary, short binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, fp long, n long, keys array<long>, sketch binary, short binary")
 
 
 def _allowed(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
@@ -161,7 +161,7 @@ def _allowed(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     info = info.join(sides, "fp", "left_semi")
     one = info.select(F.col("fp").alias("a"), F.col("n").alias("n1"), F.col("sketch").alias("s1"))
     two = info.select(F.col("fp").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("s2"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "n1", "n2", "s1", "s2").mapInArrow(run, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "n1", "n2", "s1", "s2").mapInArrow(lean(run), "a long, b long")
 
 
 def _verified(pairs: DataFrame, owner: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -195,12 +195,13 @@ def _verified(pairs: DataFrame, owner: DataFrame, docs: DataFrame, width: int, p
                             right.append(fp[k])
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def _blocks(percent: int, nearest: bool):
     """(key, a, b, far, more): pairs of sets in a block that differ in component and whose sketches and sizes allow a link;
-    far is the sketches' distance. nearest: each set's nearest one only, with more where it has others."""
+    far is the sketches' distance. nearest: only each set's nearest one of smaller label, so that a round can join a whole
+    group; more where a set has others of smaller label."""
 
     def run(batches):
         for group in sorted_groups(batches, ["key", "i", "j"]):
@@ -210,18 +211,20 @@ def _blocks(percent: int, nearest: bool):
             marks = np.frombuffer(b"".join(group.column("short").to_pylist()), np.uint64).reshape(len(fp), -1)
             left, right = np.flatnonzero(own == block), np.flatnonzero(own == other)
             out, more = [], False
-            for x in left:
-                y = right[label[right] != label[x]]
-                y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
-                if not nearest and block == other:
-                    y = y[fp[y] > fp[x]]
-                if len(y):
-                    far = np.bitwise_count(marks[y] ^ marks[x]).sum(1, dtype=np.int64)
-                    ok = np.flatnonzero(far * (100 + percent) <= (100 - percent) * (n[y] + n[x]))
-                    if nearest and len(ok):
-                        more |= len(ok) > 1
-                        ok = ok[[np.argmin(far[ok])]]
-                    out.append(np.stack([np.full(len(ok), fp[x]), fp[y[ok]], far[ok]]))
+            sides = [(left, right)] if block == other else [(left, right), (right, left)]
+            for some, rest in sides if nearest else sides[:1]:
+                for x in some:
+                    y = rest[label[rest] < label[x]] if nearest else rest[label[rest] != label[x]]
+                    y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
+                    if not nearest and block == other:
+                        y = y[fp[y] > fp[x]]
+                    if len(y):
+                        far = np.bitwise_count(marks[y] ^ marks[x]).sum(1, dtype=np.int64)
+                        ok = np.flatnonzero(far * (100 + percent) <= (100 - percent) * (n[y] + n[x]))
+                        if nearest and len(ok):
+                            more |= len(ok) > 1
+                            ok = ok[[np.argmin(far[ok])]]
+                        out.append(np.stack([np.full(len(ok), fp[x]), fp[y[ok]], far[ok]]))
             if out:
                 a, b, far = np.concatenate(out, axis=1)
                 if len(a):
@@ -276,13 +279,13 @@ def linked_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     discard(all_sets, wanted)
     links = None
     label = stored(docs.sparkSession.createDataFrame([], "node long, component long"), "labels")
-    tested = None
+    tested, verified, slowing = None, 0, 0
     for turn in range(ROUNDS + 1):
         rows = buckets.join(label, F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("component", "fp").alias("label"))
         keys = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("low <> high")
         keys = stored(keys.select("key", "size", "a", "b"), "open")
         n, comparisons = keys.where("size > 2").agg(F.sum("size"), F.sum(F.col("size") * (F.col("size") - 1) / 2)).first()
-        nearest = turn < ROUNDS and (n or 0) > 0 and (not turn or comparisons > FEW * n)
+        nearest = turn < ROUNDS and (n or 0) > 0 and (not turn or comparisons > FEW * n and slowing < 10)
         rest = rows.join(keys.where("size > 2").select("key", "size"), "key")
         marks = info.select("fp", "n", "short")
         if turn:
@@ -291,7 +294,7 @@ def linked_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
         rest = rest.withColumn("block", F.pmod(F.xxhash64("fp", "key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         rest = rest.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "n", "label", "short")
         rest = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        near = stored(rest.mapInArrow(_blocks(percent, nearest), "key long, a long, b long, far long, more boolean"), "near")
+        near = stored(rest.mapInArrow(lean(_blocks(percent, nearest)), "key long, a long, b long, far long, more boolean"), "near")
         pairs = near.groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b")) if nearest else near
         pairs = pairs.select("a", "b")
         if not turn:
@@ -300,7 +303,9 @@ def linked_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(_allowed(pairs, info, percent), "pairs")
-        if not pairs.isEmpty():
+        verified, before = pairs.count(), verified
+        slowing = before / max(1, verified)  # a round that had little to verify says that little is left
+        if verified:
             tested = pairs if tested is None else tested.unionByName(pairs)
             found = stored(_verified(pairs, owner, docs, width, percent), "links")
             links = found if links is None else links.unionByName(found)

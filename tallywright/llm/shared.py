@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_MMAP_THRESHOLD = -3  # fixed value: of the C library
 CHUNK = 1 << 20  # bytes hashed at once
 _POWERS: list[np.ndarray] = []
 _BASE = 0x9E3779B97F4A7C15
@@ -57,6 +59,24 @@ def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def lean(run):
+    """run, a function on Arrow batches, in a Python worker that gives memory back: workers live on from task to task, and
+    what their allocators keep would add up beside the executor's heap."""
+
+    def wrapped(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "mallopt"):
+            libc.mallopt(_MMAP_THRESHOLD, 1 << 20)
+        try:
+            yield from run(batches)
+        finally:
+            if hasattr(libc, "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return wrapped
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -236,7 +256,7 @@ def components(links: DataFrame, most: int = 500_000) -> DataFrame:
     levels: list[DataFrame] = []
     while True:
         tasks = max(1, -(-edges.count() // most))
-        star = stored(edges.coalesce(tasks).mapInArrow(_contract(most), "node long, root long"), "stars")
+        star = stored(edges.coalesce(tasks).mapInArrow(lean(_contract(most)), "node long, root long"), "stars")
         if tasks == 1:
             levels.append(star.withColumnRenamed("root", "p"))
             break

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm.shared import shared_folder, stored, table
+from tallywright.llm.shared import lean, shared_folder, stored, table
 
 MIN_REVISIT = 100  # bytes
 SHARD = 32 << 20  # payload bytes aimed at for each shard
@@ -59,7 +59,7 @@ def cut_points(sizes: DataFrame) -> tuple[list[tuple], int]:
     """First (page_id, spot) of each shard but the first, sorted, and the bytes of a shard; sizes: (page_id, spot, n)."""
     order = [F.col("page_id").asc_nulls_first(), F.col("spot")]
     ranged = sizes.select("page_id", "spot", "n").repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged = stored(ranged.mapInArrow(_running, "part int, page_id long, spot long, n long, before long"), "sizes")
+    ranged = stored(ranged.mapInArrow(lean(_running), "part int, page_id long, spot long, n long, before long"), "sizes")
     parts = sorted(tuple(r) for r in ranged.groupBy("part").agg(F.sum("n")).collect())  # one row for each range partition
     if not parts:
         return [], SHARD
@@ -219,7 +219,7 @@ def write_archive(pages: DataFrame, folder: str) -> DataFrame:
             files.close()
             yield from _rows(files)
 
-    manifest = mixed.select("page_id", "url", "payload", "digest", "spot", "refers", "refers_url", "shard").mapInArrow(run, MANIFEST)
+    manifest = mixed.select("page_id", "url", "payload", "digest", "spot", "refers", "refers_url", "shard").mapInArrow(lean(run), MANIFEST)
     manifest.write.parquet(f"{folder}/_manifest.tmp")
     jvm = spark.sparkContext._jvm
     tmp, final = (jvm.org.apache.hadoop.fs.Path(f"{folder}/{x}") for x in ("_manifest.tmp", "_manifest"))
@@ -277,7 +277,7 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
                     yield batch_of(rows)
 
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest")
-    return manifest.select("file").repartition(max(1, min(10_000, manifest.count())), "file").mapInArrow(run, RECORD)
+    return manifest.select("file").repartition(max(1, min(10_000, manifest.count())), "file").mapInArrow(lean(run), RECORD)
 
 
 def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
