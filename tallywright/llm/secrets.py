@@ -1,9 +1,14 @@
 """Secret scans: a random forest over native features decides which candidates are secrets.
 
-A candidate is a run of 16 token characters or more with a letter and a digit, wherever in a text; a word may hold several, and
-`name=` is part of the context. The forest's features are the value's length and mix of characters, its transitions between character
+A candidate is a run of LONG token characters or more with a letter and a digit or a known PREFIX, wherever in a text, or one
+of SHORT or more right after `=` or `:` that has a letter and a digit or stands near a word of FOR; a word may hold several, and `name=` is part of the
+context. The forest's features are the value's length and mix of characters, its transitions between character
 classes, the share that dictionary words cover, marks of paths, known prefixes, and the words before and after. It is trained
 on labelled findings (value, before, after, path, label): given ones, of which at most LABELLED are used, or a generated set.
+A score of DECIDED is a secret. Findings of one label, or none, make a forest that always says it, or no finding a secret.
+
+A text is cut once into runs and the pieces between them, which also give a run's place and context, so that the work is
+linear in the text's length, however long it is. The context reaches back to the run before the last.
 
 Only DataFrame functions and Spark's own forest are used. Null and empty texts have no candidate. A run that a document
 repeats is a finding at each place, judged by the context there. Repeated rows give repeated findings. The path is the column `source`, empty if
@@ -18,13 +23,16 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm.shared import small, stored, table
+from tallywright.llm.shared import stored, table
 
 LABELLED = 20_000
-TREES, DEPTH, SEED = 20, 6, 17
+TREES, DEPTH, SEED = 24, 10, 17
 DECIDED = 0.5
 MARK = "[SECRET]"
-RUN = r"[A-Za-z0-9+/_~][A-Za-z0-9+/_.~-]{15,}+"
+LONG, SHORT = 16, 8
+_RUN = r"(?<![A-Za-z0-9+/_~])[A-Za-z0-9+/_~][A-Za-z0-9+/_.~-]{%d,}+"
+RUN = f"{_RUN % (LONG - 1)}|(?<=[=:][\"' ]{{0,2}}){_RUN % (SHORT - 1)}"
+ASSIGNED = r"[=:]\s*[\"'(\[]*$"
 GROUP = 256  # runs whose lengths are added up at once, so that a text of many runs costs no square
 # Words that speak for or against a secret, known prefixes of keys, and common words in names.
 FOR = r"(?i)(token|secret|passw|pwd|credential|api.?key|apikey|access.?key|private.?key|auth|bearer|client.?key|signing)"
@@ -56,7 +64,7 @@ def _with_features(rows: DataFrame) -> tuple[DataFrame, list[str]]:
         "f_prefix": flag(v.rlike(PREFIX)),
         "f_for": flag(near.rlike(FOR)),
         "f_against": flag(near.rlike(AGAINST) | F.col("after").rlike(AGAINST)),
-        "f_assigned": flag(near.rlike("[=:]\\s*[\"'(\\[]*$")),
+        "f_assigned": flag(near.rlike(ASSIGNED)),
         "f_test_path": flag(F.col("path").rlike("(?i)(test|example|fixture|sample|doc|mock)")),
     }
     return rows.withColumns(features), list(features)
@@ -73,6 +81,10 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     forms = [
         (F.substring(h, 1, 40), pick("token = \"", "api_key = \"", "secret: ", "auth_token=", "password = '"), 1),
         (F.substring(h, 1, 32), pick("api key: ", "client_secret = \"", "access_key=", "SECRET_KEY: '"), 1),
+        (F.substring(h, 5, 12), pick("password=", "passwd: ", "db_password = \"", "pwd='"), 1),
+        (F.translate(F.substring(h, 9, 14), "0123456789", "ghjkmqvwxz"), pick("password=", "secret: ", "passwd = \"", "token='"), 1),
+        (F.concat(word(3), word(5)), pick("title=", "name: ", "class=\"", "href='"), 0),
+        (F.concat(word(3), F.lit("_"), F.substring(digits, 1, 3), F.lit("x")), pick("id=", "ref: ", "name=\"", "key="), 0),
         (h, pick("signing key ", "private_key = ", "token: \""), 1),
         (F.substring(b64, 1, 40), pick("aws_secret_access_key = ", "token=", "Authorization: Bearer ", "secret "), 1),
         (F.concat(F.lit("AKIA"), F.upper(F.substring(h, 1, 16))), pick("", "key id ", "aws "), 1),
@@ -88,7 +100,7 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         (F.concat(word(3), F.lit("."), F.substring(digits, 1, 2)), pick("by ", "from ", ""), 0),
         (F.concat(F.lit("mail"), F.substring(digits, 1, 1), F.lit(".example.com")), pick("of.12@", "the.7@", "http://"), 0),
         (F.concat(word(3), word(5), word(7), F.substring(digits, 1, 1)), pick("the ", "and ", "of "), 0),
-        (F.lit("xxxxxxxxxxxxxxxx1234"), pick("token = \"", "api_key=", "password: "), 0),
+        (F.concat(F.lit("xxxxxxxxxxxx"), F.substring(digits, 1, 5)), pick("token = \"", "api_key=", "password: "), 0),
         (F.concat(F.lit("your_api_key_example_1"), F.substring(digits, 1, 2)), pick("token = \"", "api_key=", "password: "), 0),
         (F.concat(F.lit("lib"), word(3), F.lit("-"), F.substring(digits, 1, 1), F.lit(".4.2-release.tar.gz")), pick("version ", "get ", ""), 0),
     ]
@@ -100,11 +112,15 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     return spark.range(n).select(of(0).alias("value"), F.concat(filler, of(1)).alias("before"), F.concat(F.lit(" "), word(13), F.lit(" "), word(15)).alias("after"), path.alias("path"), label.cast("double").alias("label"))
 
 
-def train(findings: DataFrame) -> tuple[VectorAssembler, RandomForestClassificationModel]:
-    """The forest from labelled findings, of which the LABELLED with the smallest hash are used."""
-    rows = findings.orderBy(F.xxhash64("value", "before")).limit(LABELLED)
+def train(findings: DataFrame) -> tuple[VectorAssembler, RandomForestClassificationModel | float]:
+    """The forest from labelled findings, of which the LABELLED with the smallest hash are used; with less than two labels
+    the one that all findings have, or 0."""
+    rows = stored(findings.orderBy(F.xxhash64("value", "before")).limit(LABELLED), "findings")
     rows, names = _with_features(rows)
     assembler = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep")
+    labels = [float(r[0]) for r in rows.select("label").distinct().collect()]
+    if len(labels) < 2:
+        return assembler, max(labels, default=0.0)
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featuresCol="features", labelCol="label")
     return assembler, forest.fit(assembler.transform(rows.select("label", *names)).repartition(2))
 
@@ -112,36 +128,39 @@ def train(findings: DataFrame) -> tuple[VectorAssembler, RandomForestClassificat
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, path, value, position, before, after) of the candidates of whole texts, one row for each place."""
     path = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
-    rows = docs.where(F.col("text").rlike("[0-9]")).select("doc_id", path.alias("path"), "text")
-    found = lambda group: F.regexp_extract_all("text", F.lit(f"(?s).*?({RUN})"), F.lit(group))
-    rows = rows.withColumn("runs", found(1)).where(F.size("runs") > 0).withColumn("sizes", F.transform(found(0), F.length))
+    rows = docs.select("doc_id", path.alias("path"), "text")
+    # the pieces between runs; there is one more of them than of runs
+    rows = rows.withColumn("runs", F.regexp_extract_all("text", F.lit(RUN), F.lit(0))).where(F.size("runs") > 0).withColumn("pieces", F.split("text", RUN, -1))
+    rows = rows.withColumn("sizes", F.transform("runs", lambda r, i: F.length(F.get("pieces", i)) + F.length(r)))
     rows = rows.withColumn("groups", F.expr(f"transform(sequence(0, (size(sizes) - 1) div {GROUP}), g -> slice(sizes, cast(g * {GROUP} + 1 as int), {GROUP}))"))
     add = "(s, x) -> concat(s, array(element_at(s, -1) + x))"
     sums = f"aggregate(transform(groups, g -> aggregate(g, 0, (s, x) -> s + x)), cast(array(0) as array<int>), {add})"
     ends = f"flatten(transform(groups, (g, k) -> slice(aggregate(g, cast(array(bases[k]) as array<int>), {add}), 2, {GROUP})))"
     rows = rows.withColumn("bases", F.expr(sums)).withColumn("ends", F.expr(ends))
-    pairs = F.filter(F.arrays_zip("runs", "ends"), lambda c: c["runs"].rlike("[0-9]") & c["runs"].rlike("[A-Za-z]"))
-    rows = rows.withColumn("pairs", pairs).where(F.size("pairs") > 0)
-    place = "transform(pairs, c -> named_struct('value', c.runs, 'position', c.ends - length(c.runs) + 1, 'end', c.ends))"
-    rows = rows.withColumn("places", F.expr(place))
-    near = "transform(places, c -> named_struct('value', c.value, 'position', c.position, 'before', substring(text, greatest(c.position - 48, 1), least(c.position - 1, 48)), 'after', substring(text, c.end + 1, 24)))"
-    rows = rows.select("doc_id", "path", F.explode(F.expr(near)).alias("c")).select("doc_id", "path", "c.*")
-    rows = rows.withColumn("value", F.regexp_replace("value", "[.]+$", ""))
-    return rows.where((F.length("value") >= 16) & F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]"))
+    before = "right(concat(if(i > 0, concat(right(get(pieces, i - 1), 48), get(runs, i - 1)), ''), right(get(pieces, i), 48)), 48)"
+    after = "left(concat(left(get(pieces, i + 1), 24), coalesce(get(runs, i + 1), '')), 24)"
+    made = f"transform(runs, (r, i) -> named_struct('value', regexp_replace(r, '[.]+$', ''), 'position', get(ends, i) - length(r) + 1, 'before', {before}, 'after', {after}))"
+    rows = rows.select("doc_id", "path", F.explode(F.expr(made)).alias("c")).select("doc_id", "path", "c.*")
+    mixed = F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")
+    assigned = F.col("before").rlike(ASSIGNED) & (F.length("value") >= SHORT)
+    return rows.where(((mixed | F.col("value").rlike(PREFIX)) & (F.length("value") >= LONG)) | (assigned & (mixed | F.substring("before", -32, 32).rlike(FOR))))
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
     """(doc_id, value, position, score, is_secret) of every candidate."""
     assembler, forest = train(findings if findings is not None else labelled_findings(docs.sparkSession))
     rows, names = _with_features(candidates(docs))
-    scored = forest.transform(assembler.transform(rows)).withColumn("score", vector_to_array("probability")[1])
+    if isinstance(forest, float):
+        scored = rows.withColumn("score", F.lit(forest))
+    else:
+        scored = forest.transform(assembler.transform(rows)).withColumn("score", vector_to_array("probability")[1])
     return scored.select("doc_id", "value", "position", "score", (F.col("score") >= DECIDED).alias("is_secret"))
 
 
 def redacted(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
     """docs with MARK for each secret in text, and n_chars anew where it exists."""
     found = scan(docs, findings).where("is_secret").groupBy("doc_id").agg(F.collect_set("value").alias("__values"))
-    found = small(stored(found.select(F.col("doc_id").alias("__id"), "__values"), "secrets"), 100_000)
+    found = stored(found.select(F.col("doc_id").alias("__id"), "__values"), "secrets")  # Spark broadcasts it if it is small in bytes
     longest_first = F.array_sort("__values", lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
     clean = F.aggregate(longest_first, F.col("text"), lambda t, v: F.replace(t, v, F.lit(MARK)))
     out = docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")), "left").withColumn("text", F.coalesce(clean, F.col("text")))
