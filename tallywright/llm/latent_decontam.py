@@ -2,8 +2,8 @@
 
 Passages of the benchmark (CELL words) are weighted by TF-IDF, with document frequencies counted over all documents, and a
 distributed randomised SVD gives their latent space: its right singular vectors are found by sketching A'A with random
-vectors, summed over partitions. Its rank is the number of a block's passages, so that projection loses nothing, and blocks
-are cut so that this is some PASSAGES. Windows of 2 * CELL words at every CELL words of each whole document are folded in; a
+vectors, summed over partitions. Its rank is the least at which every passage keeps KEPT of its squared norm, so that passages
+that say the same share dimensions and none is lost; blocks are cut so that they have some PASSAGES. Windows of 2 * CELL words at every CELL words of each whole document are folded in; a
 window whose cosine to a benchmark passage is at least COSINE is a candidate; its norm is that of its words that the benchmark
 has, so that rare words around an item don't hide it. Fold-in and cosine are linear in a window's
 words, so each word's cosines to all passages are kept as one sparse row. The longest common subsequence of
@@ -12,6 +12,8 @@ PARAPHRASE or more is one if the item's answer is there too. The answer is the c
 
 Null or empty texts and items without words match nothing. Repeated items or documents give a finding each. A document
 found by several windows gives an item's best one; ties go to the first. An empty benchmark or table gives no finding.
+An item of more than LONG words is taken in pieces of so many, each with a finding of its own; documents of any length are read
+whole. Other columns of both tables are ignored by contaminated and kept by without_leaks, whatever their names and types.
 The benchmark is a stated query set: PASS blocks are handled in a pass over the documents. An item's passages are in one block.
 """
 
@@ -22,15 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm.shared import stored, table, word_hashes
+from tallywright.llm.shared import lean, stored, table, word_hashes
 
 CELL = 16
 FEATURE_BITS = 18
 PASSAGES = 1024  # of a block, about
 PASS = 16  # blocks in a pass over the documents
+LONG = 4096  # words of an item's piece
+KEPT = 0.9
 SPARE = 16  # random vectors above the rank
 COSINE = 0.15
-TINY = 1e-4  # a word's least cosine that is kept: what is left out moves a window's by sqrt(2 * CELL) of it at most
+TINY = 0.02  # a word's least cosine that is kept; the threshold of a window is lower by what its words may have lost
 POWER = 2  # of the logarithm of the inverse document frequency in a weight
 VERBATIM = 0.75
 PARAPHRASE = 0.5
@@ -71,7 +75,7 @@ def _sum_blobs(kind):
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     """log((documents + 1) / (documents with the feature + 1)) ** POWER of every feature: a table of fixed size."""
-    sums = docs.select("text").mapInArrow(_frequencies, "part int, counts binary").repartition(17, "part").mapInArrow(_sum_blobs(np.int32), "part int, counts binary").collect()
+    sums = docs.select("text").mapInArrow(lean(_frequencies), "part int, counts binary").repartition(17, "part").mapInArrow(lean(_sum_blobs(np.int32)), "part int, counts binary").collect()
     found = {r["part"]: np.frombuffer(r["counts"], np.int64) for r in sums}
     if not found:
         return np.zeros(_D, np.float32)
@@ -107,17 +111,18 @@ def learn_space(items: DataFrame, idf: np.ndarray) -> dict | None:
     vocabulary = np.unique(_features(words))
     weight = idf[vocabulary].astype(np.float64)
     count = len({p.tobytes() for t in texts for p in _passages(t)})
-    rank = max(1, min(count, len(vocabulary)))
-    width = min(len(vocabulary), rank + SPARE)
+    width = min(len(vocabulary), count + SPARE)
 
-    def matrix(column):
+    def matrices(column):
+        """The passages of some items as rows, a few hundred at a time."""
         hashed, at = word_hashes(column, letters=True)
         passages = [p for a, b in zip(at, at[1:], strict=False) for p in _passages(hashed[a:b])]
-        out = np.zeros((len(passages), len(vocabulary)), np.float32)
-        for k, p in enumerate(passages):
-            place = np.searchsorted(vocabulary, _features(p))
-            np.add.at(out[k], place, weight[place])
-        return out
+        for a in range(0, len(passages), 256):
+            out = np.zeros((min(256, len(passages) - a), len(vocabulary)), np.float32)
+            for row, p in zip(out, passages[a:], strict=False):
+                place = np.searchsorted(vocabulary, _features(p))
+                np.add.at(row, place, weight[place])
+            yield out
 
     def squared(basis):
         """A'A times basis, summed over the partitions of A."""
@@ -127,37 +132,45 @@ def learn_space(items: DataFrame, idf: np.ndarray) -> dict | None:
             total = 0
             for batch in batches:
                 for a in range(0, batch.num_rows, 200):
-                    x = matrix(batch.column(0).slice(a, 200))
-                    total = total + x.T @ (x @ basis)
+                    for x in matrices(batch.column(0).slice(a, 200)):
+                        total = total + x.T @ (x @ basis)
             if not isinstance(total, int):
                 cut = max(1, (1 << 20) // (8 * basis.shape[1]))
                 blocks = range(0, len(total), cut)
                 yield pa.RecordBatch.from_arrays([pa.array([a // cut for a in blocks], pa.int32()), pa.array([total[a : a + cut].astype(np.float32).tobytes() for a in blocks], pa.binary())], names=["part", "counts"])
 
-        parts = rows.select("text").mapInArrow(run, "part int, counts binary").repartition(4, "part").mapInArrow(_sum_blobs(np.float32), "part int, counts binary").collect()
+        parts = rows.select("text").mapInArrow(lean(run), "part int, counts binary").repartition(4, "part").mapInArrow(lean(_sum_blobs(np.float32)), "part int, counts binary").collect()
         return np.concatenate([np.frombuffer(r["counts"], np.float64) for r in sorted(parts, key=lambda r: r["part"])]).reshape(-1, basis.shape[1])
 
     basis = np.random.default_rng(11).standard_normal((len(vocabulary), width))
     basis, _ = np.linalg.qr(squared(basis))
     core = basis.T @ squared(basis)
     _, turn = np.linalg.eigh((core + core.T) / 2)
-    space = basis @ turn[:, ::-1][:, :rank]
-    where, latent = [], []
+    space = basis @ turn[:, ::-1]
+    where, latent, norms = [], [], []
     for k, t in enumerate(texts):
         for p in _passages(t):
             place = np.searchsorted(vocabulary, _features(p))
             v = weight[place] @ space[place]
-            size = np.linalg.norm(v)
-            if size > 0:
+            if np.linalg.norm(v) > 0:
+                _, times = np.unique(place, return_inverse=True)
                 where.append(k)
-                latent.append(v / size)
+                latent.append(v)
+                norms.append(np.square(np.bincount(times, weight[place])).sum())
     if not where:
         return None
+    latent = np.array(latent)
+    energy = np.cumsum(latent**2, axis=1)
+    enough = (energy >= KEPT * np.minimum(np.array(norms), energy[:, -1])[:, None]).all(0)
+    rank = 1 + int(np.argmax(enough))
+    space, latent = space[:, :rank], latent[:, :rank]
+    latent /= np.linalg.norm(latent, axis=1, keepdims=True)
     if not has_answer:
         answers = [np.unique(t)[np.argsort(-idf[_features(np.unique(t))], kind="stable")[:RAREST]] for t in texts]
-    near = space @ np.array(latent).T
+    near = space @ latent.T
     row, passage = np.nonzero(np.abs(near) >= TINY)
-    return {"ids": local.column("item_id").to_pylist(), "texts": texts, "answers": answers, "where": np.array(where), "feature": vocabulary[row], "passage": passage, "value": near[row, passage].astype(np.float32)}
+    lost = np.where(np.abs(near) < TINY, near, 0).max(1)
+    return {"ids": local.column("item_id").to_pylist(), "texts": texts, "answers": answers, "where": np.array(where), "feature": vocabulary[row], "passage": passage, "value": near[row, passage].astype(np.float32), "vocabulary": vocabulary, "lost": lost}
 
 
 def _merged(models: list[dict], idf: np.ndarray) -> dict:
@@ -170,7 +183,11 @@ def _merged(models: list[dict], idf: np.ndarray) -> dict:
     value = np.concatenate([m["value"] for m in models])[order]
     where = np.concatenate([m["where"] + k for m, k in zip(models, items, strict=False)])
     rows = np.bincount(feature, minlength=_D)
-    return {key: [x for m in models for x in m[key]] for key in ("ids", "texts", "answers")} | {"where": where, "passage": passage, "value": value, "rows": rows, "first": np.cumsum(rows) - rows, "idf": idf}
+    lost, known = np.zeros(_D), np.zeros(_D, bool)
+    for m in models:
+        known[m["vocabulary"]] = True
+        np.maximum.at(lost, m["vocabulary"], m["lost"])
+    return {key: [x for m in models for x in m[key]] for key in ("ids", "texts", "answers")} | {"where": where, "passage": passage, "value": value, "rows": rows, "first": np.cumsum(rows) - rows, "idf": idf, "known": known, "lost": lost}
 
 
 def common_subsequence(item: np.ndarray, region: np.ndarray) -> int:
@@ -197,10 +214,15 @@ def _candidates(model: dict, words: np.ndarray, at: np.ndarray):
         return
     doc = np.repeat(np.arange(len(counts)), counts)
     starts = np.repeat(at[:-1] - CELL * (np.cumsum(counts) - counts), counts) + CELL * np.arange(len(doc))
-    known = np.add.reduceat(np.where(rows > 0, weight * weight, 0), starts)
-    after = np.zeros(len(doc), bool)
-    after[:-1] = doc[1:] == doc[:-1]
-    known[:-1] += np.where(after[:-1], known[1:], 0) if len(doc) > 1 else 0
+    after = doc[1:] == doc[:-1]
+
+    def window_sums(x):
+        sums = np.add.reduceat(x, starts)
+        sums[:-1] += np.where(after, sums[1:], 0)
+        return sums
+
+    known = window_sums(np.where(model["known"][feature], weight * weight, 0))
+    lost = window_sums(weight * model["lost"][feature])
     ends = np.minimum(starts + 2 * CELL, at[doc + 1])
     near = np.flatnonzero(known > 0)
     passages = len(model["where"])
@@ -213,8 +235,9 @@ def _candidates(model: dict, words: np.ndarray, at: np.ndarray):
         place = np.repeat(model["first"][feature[tokens]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         cell = np.repeat(np.repeat(np.arange(len(some)) * passages, sizes), n) + model["passage"][place]
         cosine = np.bincount(cell, np.repeat(weight[tokens], n) * model["value"][place], len(some) * passages).reshape(-1, passages)
-        cosine /= np.sqrt(known[some])[:, None]
-        for w, q in zip(*np.nonzero(cosine >= COSINE - TINY * (2 * CELL) ** 0.5), strict=True):
+        norm = np.sqrt(known[some])
+        cosine /= norm[:, None]
+        for w, q in zip(*np.nonzero(cosine >= (COSINE - lost[some] / norm)[:, None]), strict=True):
             yield int(doc[some[w]]), int(starts[some[w]]), int(model["where"][q]), float(cosine[w, q])
 
 
@@ -222,6 +245,8 @@ def find(model: dict, column: pa.Array):
     """(row, item, cosine, lcs, answer) of the leaks in a column of texts."""
     words, at = word_hashes(column, letters=True)
     best: dict[tuple[int, int], tuple] = {}
+    least = min(VERBATIM, PARAPHRASE)
+    own: dict[int, tuple] = {}
     seen: set[tuple[int, int, int]] = set()
     for doc, start, item, cosine in _candidates(model, words, at):
         text = model["texts"][item]
@@ -229,8 +254,14 @@ def find(model: dict, column: pa.Array):
             continue
         seen.add((doc, item, start))
         region = words[max(at[doc], start - len(text)) : min(at[doc + 1], start + 2 * CELL + len(text))]
+        if item not in own:
+            distinct = frozenset(text.tolist())
+            own[item] = distinct, least * len(text) - (len(text) - len(distinct))
+        distinct, some = own[item]
+        if len(distinct.intersection(region.tolist())) < some:  # the subsequence cannot be long enough
+            continue
         lcs = common_subsequence(text, region) / len(text)
-        if lcs < min(VERBATIM, PARAPHRASE):
+        if lcs < least:
             continue
         answer = float(np.isin(model["answers"][item], region).mean()) if len(model["answers"][item]) else 0.0
         if (lcs >= VERBATIM or lcs >= PARAPHRASE and answer >= ANSWER) and (doc, item) not in best or best.get((doc, item), (9,))[0] < lcs:
@@ -239,12 +270,21 @@ def find(model: dict, column: pa.Array):
         yield doc, model["ids"][item], cosine, lcs, answer
 
 
+def _pieces(items: DataFrame) -> DataFrame:
+    """(item_id, text[, answer]) with items of more than LONG words cut into pieces."""
+    words = F.split(F.col("text").cast("string"), r"\s+")
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / LONG).cast("int")), lambda k: F.array_join(F.slice(words, k * LONG + 1, LONG), " "))
+    answer = [F.col("answer").cast("string").alias("answer")] if "answer" in items.columns else []
+    return items.select(F.col("item_id").cast("long").alias("item_id"), F.explode_outer(cut).alias("text"), *answer)
+
+
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, cosine, lcs, answer) of the benchmark items that documents hold."""
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, cosine double, lcs double, answer double"
+    items = _pieces(items)
     idf = inverse_frequencies(docs)
-    total = items.select("text").mapInArrow(_passage_counts, "n long").agg(F.sum("n")).first()[0] or 0
+    total = items.select("text").mapInArrow(lean(_passage_counts), "n long").agg(F.sum("n")).first()[0] or 0
     blocks = -(-total // PASSAGES)
     out = None
     for k in range(0, blocks, PASS):
@@ -262,7 +302,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
                     types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
                     yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(types)], names=["doc_id", "item_id", "cosine", "lcs", "answer"])
 
-        found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+        found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), schema)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], schema)
 
