@@ -1,7 +1,8 @@
 """Mixing sources to target weights: token totals per source, repetition rates, floor(rate) copies plus a Bernoulli one.
 
 Nulls: a null text has size 0, a null source is a source of its own (ranked last), a null id hashes as empty text.
-Repeated ids share one random draw. An empty table gives an empty result. Other columns of the input are kept; columns
+A row's random draw is a hash of its id and text, so that rows without id, or with one id, are drawn apart; only rows equal
+in both share a draw. An empty table gives an empty result. Other columns of the input are kept; columns
 named like the operator's own are replaced by them.
 """
 
@@ -52,7 +53,7 @@ def mix(docs: DataFrame) -> DataFrame:
     targets = targets.select(F.col("source").alias("__source"), "source_size", "target", "rate")
     if targets.count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce("text", F.lit(""))))), 1, 13), 16, 10).cast("double") / float(1 << 52)
     floor = F.floor("rate")
     copies = floor + F.when(draw < F.col("rate") - floor, 1).otherwise(0)
     return sized.join(targets, F.col("source").eqNullSafe(F.col("__source"))).drop("__source").withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
@@ -70,7 +71,7 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, md5(coalesce(text, '')) AS hash, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CAST(CASE (row_number() OVER (ORDER BY source COLLATE C NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS BIGINT) AS weight FROM s),
 r AS (SELECT *, CAST(sum(source_size) OVER () AS BIGINT)
@@ -80,7 +81,7 @@ o AS (SELECT *, rest * weight <= 3 * source_size * weights AS is_open FROM r),
 l AS (SELECT rest AS level_rest, weights AS level_weights FROM o WHERE is_open ORDER BY source_size / weight, source NULLS LAST LIMIT 1),
 t AS (SELECT source, source_size, CASE WHEN is_open THEN (level_rest * weight) / CAST(level_weights AS DOUBLE) ELSE CAST(3 * source_size AS DOUBLE) END AS target FROM o, l),
 u AS (SELECT d.doc_id, d.size, t.source_size, t.target, d.source, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
-      CAST(CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS draw
+      CAST(CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || hash), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS draw
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 c AS (SELECT *, CAST(floor(rate) AS BIGINT) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END AS copies FROM u)
 SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken, source, CAST(copies AS BIGINT) AS copies FROM c
