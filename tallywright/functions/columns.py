@@ -174,3 +174,31 @@ def years_text(years: Column) -> Column:
 def termination(rows_on_last_page: Column) -> Column:
     """short_page_stop if the last page is neither empty nor full."""
     return F.when((rows_on_last_page > 0) & (rows_on_last_page < PAGE), "short_page_stop").otherwise("iterator_exhausted")
+
+
+def label(title: Column, n: int = 50) -> Column:
+    """The beginning of a title, for display."""
+    return F.substring(title, 1, n)
+
+
+def page_skip(index: Column) -> Column:
+    """Rows of the first page that a scan from a row leaves out."""
+    return F.greatest(F.lit(0).cast("bigint"), F.coalesce(index.try_cast("bigint"), F.lit(0))) - page_start(index)
+
+
+def diagnostic_line(d: Column) -> Column:
+    """A year diagnostic as text."""
+    return F.concat(*(x for k, name in (("year", ""), ("histogram_count", ": histogram="), ("seen_total", ",seen="), ("cached_total", ",cached="), ("dedup_count", ",dedup=")) for x in (F.lit(name), d[k].cast("string"))))
+
+
+def citation_row(raw: Column, fallback_year: Column) -> Column:
+    """A citing row's six fields from a raw record (bib, pub_url, eprint_url, cites_id, citedby_url, url_scholarbib)."""
+    bib = raw["bib"]
+    return F.struct(
+        F.coalesce(bib["title"], F.lit("N/A")).alias("title"),
+        F.coalesce(F.array_join(bib["author"], ", "), F.lit("")).alias("authors"),
+        F.coalesce(bib["venue"], F.lit("N/A")).alias("venue"),
+        year_with_fallback(F.coalesce(bib["pub_year"], F.lit("N/A")), fallback_year).alias("year"),
+        F.coalesce(raw["pub_url"], raw["eprint_url"], F.lit("N/A")).alias("url"),
+        native_id(raw["cites_id"], raw["citedby_url"], raw["url_scholarbib"]).alias("cites_id"),
+    )

@@ -59,3 +59,10 @@ def flag_new(rows: DataFrame, old: DataFrame, scope: list[str], keys: str, row_i
     known = old.select(*scope, F.explode(keys).alias("__key")).distinct()
     hits = rows.select(*row_id, *[c for c in scope if c not in row_id], F.explode(keys).alias("__key")).join(known, [*scope, "__key"], "left_semi").select(*row_id).distinct()
     return rows.join(hits.withColumn("__hit", F.lit(True)), row_id, "left").withColumn("is_new", F.col("__hit").isNull()).drop("__hit")
+
+
+def once_new(rows: DataFrame, old: DataFrame, group: list[str], pos: str, keys: str) -> DataFrame:
+    """rows whose keys are neither in old nor in a row that was counted before, in the order of pos: each is new once, however
+    many years have it. Old keys are the seeds of the greedy walk."""
+    seeds = old.select(*group, F.explode(keys).alias("key")).distinct()
+    return greedy_dedup(rows, group, pos, keys, seeds).where("not is_dupe").drop("is_dupe", "existing_pos")

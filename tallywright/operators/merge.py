@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -45,3 +45,36 @@ def clear_range(state: DataFrame, ranked: DataFrame, key: str, skip: int, limit:
 def carry_over(entities: DataFrame, new: DataFrame, old: DataFrame, key: str, value: str) -> DataFrame:
     """Entities with their new value, or else the one that they had."""
     return entities.join(new.select(key, F.col(value).alias("__new")), key, "left").join(old.select(key, F.col(value).alias("__old")), key, "left").withColumn(value, F.coalesce("__new", "__old")).drop("__new", "__old")
+
+
+def year_buckets(rows: DataFrame, entity: list[str], value: str) -> DataFrame:
+    """(entity..., year, members): rows by year in the order of pos; a null year is a bucket too."""
+    return rows.groupBy(*entity, "year").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", value))), lambda r: r[value]).alias("members"))
+
+
+def current_view(base: DataFrame, fresh: DataFrame, entity: list[str], replaced: DataFrame) -> DataFrame:
+    """Year mode: entities of replaced (whole, or rebuilt by force) change the years that fresh has, the others overlay."""
+    touched = fresh.join(replaced, entity, "left_semi").select(*entity, "year").distinct()
+    whole = replace_buckets(base.join(replaced, entity, "left_semi"), fresh.join(replaced, entity, "left_semi"), entity, touched)
+    return whole.unionByName(overlay(base.join(replaced, entity, "left_anti"), fresh.join(replaced, entity, "left_anti"), entity))
+
+
+def never_empty(fresh: DataFrame, old: DataFrame, entity: list[str]) -> DataFrame:
+    """fresh, and the old rows of entities that fresh has none of, so that an empty result loses nothing."""
+    return fresh.unionByName(old.join(fresh.select(*entity).distinct(), entity, "left_anti"))
+
+
+def all_rows(resumed: DataFrame, batches: DataFrame, entity: list[str]) -> DataFrame:
+    """What a session holds: the rows it went on from with every completed year's bucket replaced by that year's batch."""
+    return replace_buckets(resumed, batches, entity, batches.select(*entity, "year").distinct())
+
+
+def last_by_title(rows: DataFrame, title: str, pos: str, value: str) -> DataFrame:
+    """(title, value) with the last one of a title."""
+    return rows.groupBy(title).agg(F.max_by(value, pos).alias(value))
+
+
+def with_order(rows: DataFrame, entity: list[str]) -> DataFrame:
+    """Adds no = 1..n: kept rows first, then refreshed years from the oldest on (no year last), each by pos."""
+    order = [F.col("side"), F.when(F.col("side") == 1, F.col("year")).asc_nulls_last(), F.col("pos")]
+    return rows.withColumn("no", F.row_number().over(Window.partitionBy(*entity).orderBy(*order)).cast("bigint"))

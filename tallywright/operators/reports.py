@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.functions.columns import first_titles, or_na
+from tallywright.operators.rollups import histogram_gap
 
 
 def pivot_by_year(rows: DataFrame, entity: list[str], years: list[int]) -> DataFrame:
@@ -28,7 +29,8 @@ def history_sheet(history: DataFrame) -> DataFrame:
 
 
 def overview_years(basics: DataFrame) -> DataFrame:
-    return basics.select(F.explode("cites_per_year").alias("year", "citations")).orderBy(F.col("year").desc())
+    """The year table of each author, newest first; other columns than the map are kept."""
+    return basics.select(*[c for c in basics.columns if c != "cites_per_year"], F.explode("cites_per_year").alias("year", "citations")).orderBy(F.col("year").desc())
 
 
 def publications_sheet(pubs: DataFrame) -> DataFrame:
@@ -41,3 +43,18 @@ def output_document(pubs: DataFrame, state: DataFrame, citations: DataFrame, ent
     out = pubs.join(state, [*entity, "title"], "left").join(held, [*entity, "title"], "left")
     empty: Column = F.col("citations").isNull()
     return out.select(*entity, "title", F.to_json(F.struct(*[c for c in out.columns if c not in entity])).alias("document"), F.when(empty, 0).otherwise(F.size("citations")).alias("n_citations"))
+
+
+def profile_document(basics: DataFrame, pubs: DataFrame, entity: list[str]) -> DataFrame:
+    """(entity..., document): a profile as JSON with its derived keys; basics: (entity..., citedby, cites_per_year),
+    pubs: (entity..., no, title, num_citations). A document holds one entity's list by nature."""
+    listed = pubs.groupBy(*entity).agg(F.array_sort(F.collect_list(F.struct("no", "title", "num_citations"))).alias("publications"))
+    out = histogram_gap(basics).join(listed, entity, "left").withColumn("publications", F.coalesce("publications", F.array().cast("array<struct<no:bigint,title:string,num_citations:bigint>>")))
+    summary = F.struct("year_table_total_citations", "year_table_gap", "year_table_matches_total").alias("citation_count_summary")
+    info = F.struct("citedby", "cites_per_year").alias("author_info")
+    return out.select(*entity, F.to_json(F.struct(info, "publications", F.size("publications").alias("total_publications"), F.col("citedby").alias("total_citations"), summary)).alias("document"))
+
+
+def entry_state(state: Column, total: Column, rows: Column) -> Column:
+    """A stored diagnostics struct with the totals of now: reported and cached, while what was seen stays as it was."""
+    return state.withField("scholar_total", F.coalesce(total, state["scholar_total"])).withField("cached_total", F.when(total.isNotNull(), rows).otherwise(state["cached_total"]))

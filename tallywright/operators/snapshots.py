@@ -29,3 +29,17 @@ def change_record(current: DataFrame, previous: DataFrame, key: str, value: str,
     moved = changed_rows(current, previous, key, value).join(labelled, key)
     moved = moved.select(*group, F.lit(None).cast(current.schema[key].dataType).alias("item"), F.format_string("%s:%s>%s", key, "old", "new").alias("change"))
     return added.unionByName(moved).groupBy(*group).agg(F.array_sort(F.collect_set("item")).alias("new_items"), F.array_sort(F.collect_set("change")).alias("changed_items"))
+
+
+def append_history(history: DataFrame, record: DataFrame, group: list[str]) -> DataFrame:
+    """history (group..., seq, ...) with record as the next entry of each group."""
+    last = history.groupBy(*group).agg(F.max("seq").alias("__last"))
+    new = record.join(last, group, "left").withColumn("seq", F.coalesce("__last", F.lit(0)) + 1).drop("__last")
+    return history.unionByName(new.select(history.columns))
+
+
+def reused_publications(previous: DataFrame, landed: DataFrame, totals: DataFrame, group: list[str]) -> DataFrame:
+    """The previous list of each group whose total (group..., old, new) did not change, else the landed one. A group that has no
+    previous list takes the landed one."""
+    keep = totals.where("old = new").select(*group).join(previous.select(*group).distinct(), group, "left_semi")
+    return previous.join(keep, group, "left_semi").unionByName(landed.join(keep, group, "left_anti"))

@@ -207,22 +207,6 @@ def refresh_years_exact(spark, d):
     return _plan(Tables(spark, d), "exact").where("action <> 'fetch'").select("cust", "year", "action")
 
 
-@query(f"WITH {HIST}, b AS (SELECT coalesce(h.cust, s.cust) AS cust, coalesce(h.year, s.year) AS year, coalesce(h.n, 0) <> coalesce(s.n, 0) AS differ FROM hist h FULL JOIN sy s ON h.cust = s.cust AND h.year = s.year) SELECT cust, coalesce(string_agg(CAST(year AS VARCHAR), ',' ORDER BY year) FILTER (differ), '') AS years FROM b GROUP BY 1")
-def refresh_years(spark, d):
-    t = Tables(spark, d)
-    maps = rollups.year_count_map(t.cites(), ["cust"]).withColumnRenamed("counts", "probed").join(rollups.year_count_map(t.seen(), ["cust"]).withColumnRenamed("counts", "cached"), "cust", "left")
-    none = F.create_map().cast("map<bigint,bigint>")
-    years = status.candidate_years(F.coalesce("cached", none), F.col("probed"))
-    return maps.select("cust", F.array_join(F.transform(years, lambda y: y.cast("string")), ",").alias("years"))
-
-
-@query(f"WITH {HIST} SELECT h.cust, bool_and(coalesce(s.n, 0) >= h.n) AS satisfied FROM hist h LEFT JOIN sy s ON h.cust = s.cust AND h.year = s.year GROUP BY 1")
-def histogram_satisfied(spark, d):
-    t = Tables(spark, d)
-    both = t.histogram().join(t.seen_years().withColumnRenamed("n", "seen"), ["cust", "year"], "left")
-    return both.groupBy("cust").agg(F.bool_and(F.coalesce("seen", F.lit(0)) >= F.col("n")).alias("satisfied"))
-
-
 @query(f"WITH {TOTALS} SELECT count(*) > 0 AS pending FROM totals WHERE {STATUS} IN ('missing', 'partial')")
 def pending_exists(spark, d):
     return _classified(Tables(spark, d)).where("status in ('missing', 'partial')").limit(1).agg((F.count("*") > 0).alias("pending"))
@@ -445,21 +429,6 @@ def termination_reason(spark, d):
     return rows.select("cust", "n", C.termination(F.col("n") % C.PAGE).alias("reason"), F.ceil(F.col("n") / C.PAGE).alias("pages"))
 
 
-@query("SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN l.quality = 1 THEN 'complete' ELSE 'partial' END AS status FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
-def legacy_status(spark, d):
-    t = Tables(spark, d)
-    rows = t.documents.select("doc_id").join(t.labels.select("doc_id", "quality", F.lit(True).alias("has")), "doc_id", "left")
-    return rows.select("doc_id", status.status(F.lit(1), F.coalesce("has", F.lit(False)), F.lit(False), F.col("quality") == 1).alias("status"))
-
-
-@query(f"WITH {TOTALS} SELECT cust, has_state AND scholar_total >= {THRESHOLD} AS migrate_to_year, scholar_total >= {THRESHOLD} AND cust % 2 = 0 AS drop_unyeared, scholar_total > 0 AND cust % 2 = 0 AS refetch FROM totals")
-def refresh_strategy(spark, d):
-    rows = Tables(spark, d).totals()
-    strategy = C.fetch_policy(F.col("scholar_total"), F.lit(None).cast("int"), THRESHOLD)["strategy"]
-    made = status.refresh_strategy(strategy, F.when(F.col("has_state"), "direct"), "normal", F.col("cust") % 2 == 0, F.col("scholar_total"))
-    return rows.select("cust", made.alias("r")).select("cust", "r.migrate_to_year", "r.drop_unyeared", "r.refetch")
-
-
 @query(f"WITH {CITES} SELECT c_custkey AS cust, count(pos) AS n_citations, coalesce(CAST(sum(pos) AS BIGINT), 0) AS pos_sum FROM customer LEFT JOIN cites ON cust = c_custkey GROUP BY 1")
 def output_document(spark, d):
     t = Tables(spark, d)

@@ -116,3 +116,31 @@ def write_documents(df: DataFrame, path: str) -> None:
 def overwrite_years(df: DataFrame, path: str) -> None:
     """Replaces only the years that df has, a null year included."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
+
+
+def author_basics(basics: DataFrame, year: int) -> DataFrame:
+    """Landed basics with defaults, and the count of the given year, 0 if the histogram lacks it."""
+    count = F.coalesce(F.try_element_at("cites_per_year", F.lit(str(year))), F.lit(0).cast("bigint"))
+    return basics.na.fill("N/A", ["name", "affiliation"]).na.fill(0, ["citedby"]).withColumn("citedby_this_year", count)
+
+
+def state_of(states: DataFrame, titles: DataFrame) -> DataFrame:
+    """The states of given titles; a title without one gives no row."""
+    return states.join(titles.select("title").distinct(), "title", "left_semi")
+
+
+def swap(df: DataFrame, path: str) -> None:
+    """Rewrites documents under a path that df may read from: to a new folder first, then the old one steps aside, and comes
+    back if the new one cannot take its place."""
+    spark = df.sparkSession
+    new, old = f"{path.rstrip('/')}.new", f"{path.rstrip('/')}.bak"
+    df.write.mode("overwrite").json(new)
+    at = lambda p: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(at(old), True)
+    aside = fs.rename(at(path), at(old)) if fs.exists(at(path)) else False
+    if not fs.rename(at(new), at(path)):
+        if aside:
+            fs.rename(at(old), at(path))
+        raise OSError(f"cannot move {new} to {path}")
+    fs.delete(at(old), True)

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tallywright.operators.merge import replace_buckets
+
 
 def landed(spark: SparkSession, folder: str, name: str, files_per_batch: int = 1000) -> DataFrame:
     """A stream over a table of a folder: one parquet file, or a folder of them."""
@@ -42,13 +44,48 @@ def drain(stream: DataFrame, folder: str, checkpoint: str) -> None:
     stream.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
 
-def merge_batches(stream: DataFrame, folder: str, checkpoint: str, key: list[str]) -> None:
-    """Idempotent upsert by batch: each batch writes a folder of its own number, so that a replay overwrites itself."""
+def fold_batches(stream: DataFrame, folder: str, checkpoint: str, step) -> DataFrame | None:
+    """Folds a stream into a table of versions: batch n writes step(version before n, batch) as version n. A batch that is
+    replayed after a failure reads the same version and overwrites its own, so that it counts once; a restart goes on from the
+    checkpoint. Returns the last version, or None before the first batch. The one before the last is kept, older ones go."""
+    spark = stream.sparkSession
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    versions = lambda: sorted(int(s.getPath().getName()[2:]) for s in fs.listStatus(root) if s.getPath().getName().startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))) if fs.exists(root) else []
+    read = lambda n: spark.read.parquet(f"{folder}/v={n}")
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates(key).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        before = [n for n in versions() if n < number]
+        step(read(before[-1]) if before else None, batch).write.mode("overwrite").parquet(f"{folder}/v={number}")
+        for n in before[:-1]:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{folder}/v={n}"), True)
 
     stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    found = versions()
+    return read(found[-1]) if found else None
+
+
+def merge_batches(stream: DataFrame, folder: str, checkpoint: str, key: list[str], order: str) -> DataFrame | None:
+    """Upsert by batch: of the rows of a key, of all batches, the one with the greatest order stays."""
+
+    def step(before: DataFrame | None, batch: DataFrame) -> DataFrame:
+        rows = batch if before is None else before.unionByName(batch)
+        others = [c for c in rows.columns if c not in key]
+        return rows.groupBy(*key).agg(F.max_by(F.struct(*others), F.struct(order, *[c for c in others if c != order])).alias("__row")).select(*key, "__row.*")
+
+    return fold_batches(stream, folder, checkpoint, step)
+
+
+def replace_years(stream: DataFrame, folder: str, checkpoint: str, entity: list[str]) -> DataFrame | None:
+    """Late rows: a batch brings whole years anew, and each year that it has replaces what was held of it; no watermark."""
+
+    def step(before: DataFrame | None, batch: DataFrame) -> DataFrame:
+        if before is None:
+            return batch
+        return replace_buckets(before, batch, entity, batch.select(*entity, "year").distinct()).drop("side")
+
+    return fold_batches(stream, folder, checkpoint, step)
 
 
 def daily_counts(events: DataFrame, time: str, kind: str, late: str = "1 day") -> DataFrame:

@@ -23,7 +23,7 @@ def canonical(frame):
 def test_queries_match_sql(spark):
     import duckdb
 
-    from tallywright.plans import catalog
+    from tallywright.plans import queries as catalog
 
     db = duckdb.connect()
     for t in TABLES:

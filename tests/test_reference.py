@@ -1,12 +1,14 @@
 """Unit fixtures of the reference operators: values that the semantics notes fix."""
 
 import json
+import shutil
 
 from pyspark.sql import functions as F
 
 from tallywright.functions import columns as C
 from tallywright.operators import identity, merge, rollups, snapshots, status
-from tallywright.sources import documents, pages
+from tallywright.sources import documents, paged, pages
+from tallywright.streaming import ingest
 
 
 def one(spark, **columns):
@@ -70,12 +72,15 @@ def test_status_and_plan(spark):
         a=status.year_action(F.lit(0), F.lit(None).cast("int")),
         b=status.year_action(F.lit(None).cast("int"), F.lit(0)),
         c=status.year_action(F.lit(27), F.lit(28), "exact"),
-        d=status.candidate_years(F.create_map(F.lit(1), F.lit(2)), F.create_map(F.lit(1), F.lit(2))),
-        e=status.candidate_years(F.create_map(F.lit(1), F.lit(2)), F.lit(None).cast("map<int,int>")),
+        d=status.candidate_years(F.create_map(F.lit(1), F.lit(2)), F.create_map(F.lit(1), F.lit(2)), F.array(F.lit(1)), F.array().cast("array<int>")),
+        e=status.candidate_years(F.create_map(F.lit(1), F.lit(2)), F.lit(None).cast("map<int,int>"), F.array(F.lit(1)), F.array().cast("array<int>")),
+        h=status.candidate_years(F.create_map(F.lit(1), F.lit(2)), F.create_map().cast("map<int,int>"), F.array(F.lit(1)), F.array().cast("array<int>")),
+        i=status.candidate_years(F.create_map(F.lit(2021), F.lit(2)), F.create_map(F.lit(2020), F.lit(1)), F.sequence(F.lit(2019), F.lit(2022)), F.array(F.lit(2022), F.lit(1999))),
         f=status.is_complete(F.lit("year"), F.lit(10), F.lit(10), F.lit(99)),
         g=status.start_year(F.lit(2024), F.lit(False), F.lit(2021), F.lit(None).cast("int"), F.lit(None).cast("int")),
     )
     assert (r.a, r.b, r.c, r.d, r.e, r.f, r.g) == ("seen_total_match_skip", "fetch", "fetch", [], None, True, 2021)
+    assert (r.h, r.i) == (None, [2020, 2022])
 
 
 def test_gap_and_snapshots(spark):
@@ -106,3 +111,73 @@ def test_pages(spark):
     html = '<a data-year="1989" data-count="3"></a><a data-year="1990" data-count="2"></a><a data-year="2024" data-count="x"></a><a data-year="2030" data-count="1"></a><a href="/s?as_ylo=2001&as_yhi=2001"></a><a href="/s?as_ylo=2005"></a>'
     r = one(spark, h=pages.histogram(F.lit(html), 2025), e=pages.link_years(F.lit(html), True), a=pages.link_years(F.lit(html), False), s=pages.snippet_years(F.lit("in 1999, 2031 and 12005"), 2025))
     assert (r.h, r.e, r.a, r.s) == ({1990: 2}, [2001], [2001, 2005], [1999])
+
+
+def test_histogram_bars(spark):
+    html = '<a data-year="2001" data-count="5"></a><a data-year="2002"></a><a data-year="2001" data-count="3"></a>'
+    r = one(spark, h=pages.histogram(F.lit(html), 2025), z=pages.usable_histogram(F.lit('<a data-year="2001" data-count="0"></a>'), 2025))
+    assert (r.h, r.z) == ({2001: 3, 2002: 0}, None)
+
+
+def test_nested_result_blocks(spark):
+    html = 'x<div class="gs_r gs_or"><div>in</div><p>a</p></div>\n<div class="gs_r">no</div><div id="k" class="gsc_mpat_ttl y">b<br>'
+    rows = pages.result_rows(spark.createDataFrame([(1, html), (2, None), (3, "<p>")], "page_id long, html string")).orderBy("pos").collect()
+    assert [(r.page_id, r.pos, r.block) for r in rows] == [(1, 0, "<div>in</div><p>a</p>"), (1, 1, "b<br>")]
+
+
+def test_scan_resumes_on_its_page(spark):
+    rows = paged.pages_of(spark.range(25).select(F.lit("p").alias("e"), F.col("id")), ["e"], F.col("id"))
+    resume = spark.createDataFrame([("p", 13)], "e string, next_index int")
+    got = paged.scan(rows, ["e"], resume).orderBy("id").collect()
+    assert [r.id for r in got] == list(range(13, 25)) and {r.start for r in got} == {10, 20} and [r.id for r in got if r.page_end] == [19, 24]
+
+
+def test_legacy_status_ladder(spark):
+    none = F.lit(None).cast("long")
+    two = lambda a, b: F.struct(F.lit(a).cast("long").alias("total"), F.lit(b).cast("long").alias("seen"))
+    empty = two(None, None)
+    status_of = lambda strategy, y, p, d, counter, rows, current=60: status.legacy_status(F.lit(current), F.lit(strategy), y, p, d, counter, F.lit(rows))
+    r = one(
+        spark,
+        a=status_of("year", two(10, 10), empty, empty, none, 3),
+        b=status_of("year", two(None, None), two(10, 9), empty, none, 99),
+        c=status_of("direct", empty, empty, two(5, 4), none, 99, 5),
+        d=status_of("direct", empty, empty, empty, F.lit(7), 3, 7),
+        e=status_of("direct", empty, empty, empty, none, 3, 7),
+    )
+    assert tuple(r) == ("complete", "partial", "partial", "complete", "partial")
+
+
+def test_documents_are_swapped(spark, tmp_path):
+    path = f"file://{tmp_path}/doc"
+    for text in ("one", "two"):
+        df = spark.createDataFrame([(text,)], "t string") if text == "one" else spark.read.json(path).withColumn("t", F.lit(text))
+        documents.swap(df, path)
+        assert [r.t for r in spark.read.json(path).collect()] == [text] and sorted(x.name for x in tmp_path.iterdir()) == ["doc"]
+
+
+def test_stream_restarts(spark, tmp_path):
+    """New files after a restart merge once, a replayed batch changes nothing, and a late year replaces what was held."""
+    def land(name, rows):
+        spark.createDataFrame(rows, "id long, pos long, year long, v string").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in/{name}.parquet")
+
+    def run(make, name, *args):
+        return make(ingest.landed(spark, f"file://{tmp_path}/in", name), f"file://{tmp_path}/{name}", f"file://{tmp_path}/{name}.state", *args)
+
+    land("a", [(1, 1, 0, "x"), (2, 1, 0, "y")])
+    assert run(ingest.merge_batches, "a", ["id"], "pos").count() == 2
+    land("a", [(1, 2, 0, "z"), (3, 1, 0, "w"), (2, 0, 0, "old")])
+    for _ in range(2):
+        assert {(r.id, r.v) for r in run(ingest.merge_batches, "a", ["id"], "pos").collect()} == {(1, "z"), (2, "y"), (3, "w")}
+    shutil.rmtree(f"{tmp_path}/a.state/commits")  # the last batch was not committed: it is done again
+    assert {(r.id, r.v) for r in run(ingest.merge_batches, "a", ["id"], "pos").collect()} == {(1, "z"), (2, "y"), (3, "w")}
+    land("b", [(1, 1, 2001, "p"), (1, 2, 2002, "q")])
+    run(ingest.replace_years, "b", ["id"])
+    land("b", [(1, 3, 2001, "late"), (1, 4, None, "none")])
+    assert sorted(r.v for r in run(ingest.replace_years, "b", ["id"]).collect()) == ["late", "none", "q"]
+    rows = [(1, k, 0, k % 4) for k in range(8)]
+    for name, part in (("c", rows[:5]), ("c", rows[5:])):
+        land(name, [(a, b, c, str(d)) for a, b, c, d in part])
+        stream = ingest.landed(spark, f"file://{tmp_path}/in", "c").withColumn("keys", F.array("v"))
+        ingest.drain(ingest.stream_dedup(stream, "id", "pos", "keys"), f"file://{tmp_path}/c", f"file://{tmp_path}/c.state")
+    assert sorted(r.pos for r in spark.read.parquet(f"file://{tmp_path}/c").collect()) == [0, 1, 2, 3]
