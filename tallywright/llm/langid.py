@@ -126,8 +126,9 @@ def learn(rows: DataFrame) -> dict:
     counts = stored(counts, "grams")
     step = F.floor(F.log2(F.col("n")) * FINE).cast("int")
     steps = counts.groupBy("lang", step.alias("step")).agg(F.sum("n").alias("n"), F.count("*").alias("grams")).collect()  # some 150 rows for each language
-    least = [(lang, _least([(r["step"], r["n"], r["grams"]) for r in steps if r["lang"] == lang])) for lang in {r["lang"] for r in steps}]
-    limits = rows.sparkSession.createDataFrame(least, "lang string, least double")  # one row for each language
+    found = sorted({r["lang"] for r in steps})
+    least = [_least([(r["step"], r["n"], r["grams"]) for r in steps if r["lang"] == lang]) for lang in found]
+    limits = rows.sparkSession.createDataFrame(pa.table({"lang": pa.array(found, pa.string()), "least": pa.array(least, pa.float64())}))  # one row for each language
     kept = counts.join(F.broadcast(limits), "lang").where("n >= least").select("lang", "gram").toArrow()
     names = kept.column("lang").combine_chunks().dictionary_encode()
     names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names

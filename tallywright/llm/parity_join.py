@@ -157,7 +157,7 @@ def _allowed(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)[kept]), pa.array(np.array(b, np.int64)[kept])], names=["a", "b"])
 
     pairs = stored(pairs, "candidates")
-    sides = stored(pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct(), "sides")
+    sides = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp")))
     info = info.join(sides, "fp", "left_semi")
     one = info.select(F.col("fp").alias("a"), F.col("n").alias("n1"), F.col("sketch").alias("s1"))
     two = info.select(F.col("fp").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("s2"))
@@ -166,12 +166,13 @@ def _allowed(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, owner: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of pairs (a, b) of fingerprints whose sets are linked. The texts of one a come together with those of its bs,
-    in groups of STAR; each is hashed as it passes and only a's set is held."""
-    heads = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("slots"))
-    members = pairs.join(heads, "a").select("a", F.pmod(F.xxhash64("b"), F.col("slots")).cast("int").alias("slot"), F.col("b").alias("fp"), F.lit(1).alias("side"))
-    firsts = heads.select("a", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.col("a").alias("fp"), F.lit(0).alias("side"))
-    wanted = members.unionByName(firsts)
-    ids = stored(owner.join(wanted.select("fp").distinct(), "fp", "left_semi").select("fp", F.col("doc_id").alias("__id")), "ids")
+    in groups of STAR; each is hashed as it passes and only a's set is held. Repeated rows repeat a pair."""
+    own = Window.partitionBy("a")
+    dealt = pairs.withColumn("slots", F.ceil(F.count("*").over(own) / STAR).cast("int")).withColumn("no", F.row_number().over(own.orderBy("b")))
+    members = dealt.select("a", F.pmod(F.xxhash64("b"), F.col("slots")).cast("int").alias("slot"), F.col("b").alias("fp"), F.lit(1).alias("side"))
+    firsts = dealt.where("no = 1").select("a", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.col("a").alias("fp"), F.lit(0).alias("side"))
+    wanted = stored(members.unionByName(firsts), "wanted")
+    ids = stored(owner.join(wanted.select("fp"), "fp", "left_semi").select("fp", F.col("doc_id").alias("__id")), "ids")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(ids, F.col("doc_id").eqNullSafe(F.col("__id"))).select("fp", "text")
     rows = wanted.join(texts, "fp").select("a", "slot", "side", "fp", "text")
     rows = rows.repartition("a", "slot").sortWithinPartitions("a", "slot", "side")
@@ -195,7 +196,7 @@ def _verified(pairs: DataFrame, owner: DataFrame, docs: DataFrame, width: int, p
                             right.append(fp[k])
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(lean(run), "a long, b long").distinct()
+    return rows.mapInArrow(lean(run), "a long, b long")
 
 
 def _blocks(percent: int, nearest: bool):
@@ -278,7 +279,7 @@ def linked_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     members = stored(all_sets.select("doc_id", "fp", "n"), "members")
     discard(all_sets, wanted)
     links = None
-    label = stored(docs.sparkSession.createDataFrame([], "node long, component long"), "labels")
+    label = docs.sparkSession.range(0).select(F.col("id").alias("node"), F.col("id").alias("component"))
     tested, verified, slowing = None, 0, 0
     for turn in range(ROUNDS + 1):
         rows = buckets.join(label, F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("component", "fp").alias("label"))
@@ -288,8 +289,6 @@ def linked_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
         nearest = turn < ROUNDS and (n or 0) > 0 and (not turn or comparisons > FEW * n and slowing < 10)
         rest = rows.join(keys.where("size > 2").select("key", "size"), "key")
         marks = info.select("fp", "n", "short")
-        if turn:
-            marks = marks.join(rest.select("fp").distinct(), "fp", "left_semi")
         rest = rest.join(marks, "fp").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
         rest = rest.withColumn("block", F.pmod(F.xxhash64("fp", "key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         rest = rest.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "n", "label", "short")

@@ -65,7 +65,7 @@ def cut_points(sizes: DataFrame) -> tuple[list[tuple], int]:
         return [], SHARD
     bases = np.cumsum([0, *(n for _, n in parts)]).tolist()
     size = max(SHARD, -(-bases[-1] // MOST))
-    offsets = sizes.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(parts, bases, strict=False)], "part int, base long")
+    offsets = sizes.sparkSession.createDataFrame(pa.table({"part": pa.array([p for p, _ in parts], pa.int32()), "base": pa.array(bases[:-1], pa.int64())}))
     shard = F.floor((F.col("base") + F.col("before")) / size)
     first = ranged.join(F.broadcast(offsets), "part").groupBy(shard.alias("shard")).agg(F.min(F.struct("page_id", "spot")).alias("key"))
     keys = sorted({(r["page_id"] is not None, r["page_id"] or 0, r["spot"]) for r in first.select("key.*").collect()})  # MOST + 1 at most
