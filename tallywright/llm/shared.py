@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -42,9 +43,20 @@ def stored(df: DataFrame, name: str, whole_files: bool = False) -> DataFrame:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.folder = path
+    _tidy(spark)
     return out
 
 
+def _tidy(spark: SparkSession) -> None:
+    """Gives the driver's unused memory back: a job of many small steps leaves plans and results behind in both processes,
+    and the JVM shrinks its heap at a full collection only."""
+    gc.collect()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes those of tables that are stored ones; nothing may read them again."""
     for df in tables:
