@@ -1,71 +1,170 @@
 """Quotation linking: conversations in reply order and without quotes, from quoted messages.
 
-Each line's level is its number of leading `>`. A line of level 1 or more, normalised (lower case, single spaces), is hashed
-and looked up among the unquoted lines of earlier messages of the conversation; the latest earlier message that has it is its
-origin. A message replies to the origin of most of its quoted lines, of the lowest level first, then the latest; without one,
-to the message before. The text keeps the unquoted lines; a line `On ... wrote:` before a quote goes with it.
-
-Lines meet in a window by (conversation, hash), not in a join, so that a line that many messages quote forms no pairs. All is
-DataFrame functions. Nulls: a null text stays null and quotes nothing; a null turn sorts first; rows with a null conv_id are
-one conversation. Repeated turns keep their rows and reply to the turn before. Extra columns are dropped.
+A message is a distinct row (conv_id, turn, role, text); a conversation's messages are numbered by turn, role and hash of the
+text. A line's level is its number of leading `>`. A passage is a run of lines of one level without an empty one. Its units, all
+normalised (lower case, single blanks), are the whole passage joined over its lines, so that a quote may be wrapped anew, its
+sentences, so that a part may be quoted, and its lines. Units are hashed, and each quoted one is looked up among the unquoted
+ones of earlier messages of the conversation; the latest that has it is its origin. A message replies to the origin of its
+quoted units, of the lowest level first, then of most characters, then the latest; without one, to the message before. A line
+`On ... wrote:` before a quote goes with the quote; the text keeps the other unquoted lines.
+
+Reply order is depth first: a message, then its replies by number, each followed by its own replies. Messages that reply to the
+one before form runs, so only branches need work: they are visited as an Euler tour, whose running sums come from pointer jumping
+in as many rounds as the logarithm of a conversation's branches.
+
+All is DataFrame functions. Numbers and origins come from rows sorted by range, with what earlier partitions hold carried over, so
+a conversation or a quoted line that holds a third of all rows is cut like any other. The branches at one message are ordered by
+one task, as narrow rows that spill.
+
+Nulls sort first and equal each other: rows with a null conv_id are one conversation. A null text stays null and quotes nothing; an
+empty text stays empty; a text of quotes only becomes empty. Repeated rows are one message and share its number, reply and text.
+Ties of turn go by role and hash of the text. An empty table gives an empty result. Extra columns are dropped.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallywright.llm.shared import table
+from tallywright.llm.shared import stored, table
 
 QUOTED = r"(?m)^[ \t]*>"
 LEVEL = r"^([ \t]*>)+"
-ATTRIBUTION = r"^\s*On .* wrote:\s*$"
+ATTRIBUTION = r"^[ \t]*On .* wrote:[ \t\r]*$"
+PARTITION_BITS = 33  # fixed value: of monotonically_increasing_id, below the partition's number
+MESSAGE = ["conv_id", "turn", "role", "message"]
+
+
+def _normal(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(text), r"[ \t\r\f]+", " "))
+
+
+def _same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """left joined to right by keys, nulls being equal; right's keys are dropped."""
+    renamed = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    condition = F.lit(True)
+    for k in keys:
+        condition &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+    out = left.join(renamed, condition, how)
+    return out if how == "left_semi" else out.drop(*(f"__{k}" for k in keys))
+
+
+def _sorted(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """rows as a stored table with __id, which ascends in the order given, and __part, which a group's rows may share or not."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    return stored(ranged, name).withColumn("__part", F.shiftright("__id", PARTITION_BITS))
+
+
+def _numbered(rows: DataFrame, key: str, order: list, name: str) -> DataFrame:
+    """rows with at, their number from 1 among those of equal key."""
+    ranged = _sorted(rows, [key, *order], name)
+    parts = ranged.groupBy(key, "__part").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
+    earlier = F.coalesce(F.sum("__n").over(Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(key, "__part", (earlier - F.col("__first") + 1).alias("__shift"))
+    return _same(ranged, parts, [key, "__part"]).withColumn("at", F.col("__id") + F.col("__shift")).drop("__id", "__part", "__shift")
+
+
+def _last_before(rows: DataFrame, keys: list[str], order: list, value: Column, found: str, name: str) -> DataFrame:
+    """rows with found, the last value that isn't null of the rows of equal keys that sort before."""
+    ranged = _sorted(rows.withColumn("__value", value), [*keys, *order], name)
+    here = F.last("__value", ignorenulls=True).over(Window.partitionBy("__part", *keys).orderBy("__id").rowsBetween(Window.unboundedPreceding, -1))
+    parts = ranged.groupBy("__part", *keys).agg(F.max_by("__value", F.when(F.col("__value").isNotNull(), F.col("__id"))).alias("__last"))
+    carried = F.last("__last", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select("__part", *keys, carried.alias("__carried"))
+    out = _same(ranged.withColumn("__here", here), parts, ["__part", *keys])
+    return out.withColumn(found, F.coalesce("__here", "__carried")).drop("__id", "__part", "__value", "__here", "__carried")
+
+
+def _lines(texts: DataFrame) -> DataFrame:
+    """(conv_id, at, pos, line, level, content, leads) of messages (conv_id, at, text)."""
+    lines = texts.select("conv_id", "at", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = lines.withColumn("level", F.length(F.regexp_replace(F.regexp_extract("line", LEVEL, 0), "[^>]", ""))).withColumn("content", _normal(F.regexp_replace("line", LEVEL, "")))
+    following = F.lead("level").over(Window.partitionBy("conv_id", "at").orderBy("pos"))
+    return lines.withColumn("leads", F.col("line").rlike(ATTRIBUTION) & (F.coalesce(following, F.lit(0)) > F.col("level")))
+
+
+def _units(lines: DataFrame) -> DataFrame:
+    """(conv_id, at, level, passage, unit): the distinct units of each passage."""
+    ends = Window.partitionBy("conv_id", "at").orderBy("pos")
+    broken = (F.col("level") != F.lag("level").over(ends)) | F.col("leads") | (F.col("content") == "")
+    lines = lines.withColumn("passage", F.sum(F.coalesce(broken, F.lit(False)).cast("long")).over(ends.rowsBetween(Window.unboundedPreceding, 0)))
+    passages = lines.where(~F.col("leads") & (F.col("content") != "")).groupBy("conv_id", "at", "level", "passage").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "content"))), lambda x: x["content"]).alias("lines"))
+    whole = F.array_join("lines", " ")
+    sentences = F.split(F.regexp_replace(whole, r"([.!?]) ", "$1\n"), "\n")
+    return passages.select("conv_id", "at", "level", "passage", F.explode(F.array_distinct(F.concat(F.array(whole), sentences, "lines"))).alias("unit")).where("unit <> ''")
+
+
+def _origins(units: DataFrame) -> DataFrame:
+    """(conv_id, at, origin, quoted_passages, linked_passages) of messages that quote."""
+    units = units.select("conv_id", "at", "level", "passage", F.md5("unit").alias("hash"), F.length("unit").cast("long").alias("chars"))
+    quoted = units.where("level > 0").select("conv_id", "hash").distinct()
+    # a message's quotes sort before its own words, so that they see earlier messages only
+    found = _last_before(_same(units, quoted, ["conv_id", "hash"], "left_semi"), ["conv_id", "hash"], ["at", F.col("level").desc(), "passage"], F.when(F.col("level") == 0, F.col("at")), "origin", "units")
+    found = found.where("level > 0")
+    votes = found.where("origin is not null").groupBy("conv_id", "at", "origin").agg(F.min("level").alias("level"), F.sum("chars").alias("chars"))
+    best = votes.groupBy("conv_id", "at").agg(F.max_by("origin", F.struct(-F.col("level"), "chars", "origin")).alias("origin"))
+    passages = found.groupBy("conv_id", "at", "passage").agg(F.max(F.col("origin").isNotNull().cast("long")).alias("linked"))
+    counts = passages.groupBy("conv_id", "at").agg(F.count("*").alias("quoted_passages"), F.sum("linked").alias("linked_passages"))
+    return _same(counts, best, ["conv_id", "at"])
+
+
+def _offsets(branches: DataFrame) -> DataFrame:
+    """(conv_id, start, offset): messages that precede each run in reply order, of runs (conv_id, start, parent, attached, size)."""
+    among = Window.partitionBy("conv_id", "parent").orderBy(F.col("attached").desc(), "start")
+    runs = branches.withColumn("sibling", F.when(F.col("parent").isNotNull(), F.lead("start").over(among))).withColumn("place", F.row_number().over(among))
+    first = runs.where("place = 1 and parent is not null").select("conv_id", F.col("parent").alias("start"), F.col("start").alias("child"))
+    runs = stored(_same(runs, first, ["conv_id", "start"]), "runs")
+    # event 2 * start enters a run, 2 * start + 1 leaves it; rest sums the sizes of the runs entered from an event on
+    enter = runs.select("conv_id", (F.col("start") * 2).alias("event"), F.coalesce(F.col("child") * 2, F.col("start") * 2 + 1).alias("next"), F.col("size").alias("rest"))
+    leave = runs.select("conv_id", (F.col("start") * 2 + 1).alias("event"), F.coalesce(F.col("sibling") * 2, F.col("parent") * 2 + 1).alias("next"), F.lit(0).cast("long").alias("rest"))
+    tour = stored(enter.unionByName(leave), "tour")
+    while not tour.where("next is not null").isEmpty():
+        ahead = tour.select("conv_id", F.col("event").alias("next"), F.col("rest").alias("more"), F.col("next").alias("after"))
+        tour = stored(_same(tour, ahead, ["conv_id", "next"]).select("conv_id", "event", F.col("after").alias("next"), (F.col("rest") + F.coalesce("more", F.lit(0))).alias("rest")), "tour")
+    entered = tour.where("event % 2 = 0").select("conv_id", (F.col("event") / 2).cast("long").alias("start"), "rest")
+    totals = entered.where("start = 1").select("conv_id", F.col("rest").alias("total"))
+    return _same(entered, totals, ["conv_id"]).select("conv_id", "start", (F.col("total") - F.col("rest")).alias("offset"))
 
 
-def _normal(line):
-    return F.trim(F.regexp_replace(F.lower(line), r"\s+", " "))
+def _positions(messages: DataFrame, origins: DataFrame) -> DataFrame:
+    """(conv_id, at, position) of the messages of conversations with branches; origins is a stored table."""
+    branches = origins.where("origin < at - 1").select("conv_id", F.col("at").alias("start"), F.col("origin").alias("attached"))
+    last = _same(messages, branches.select("conv_id").distinct(), ["conv_id"], "left_semi").groupBy("conv_id").agg(F.max("at").alias("last"))
+    roots = last.select("conv_id", F.lit(1).cast("long").alias("start"), F.lit(None).cast("long").alias("attached"))
+    starts = stored(branches.unionByName(roots), "starts")
+    members = _same(messages.select("conv_id", "at"), last.select("conv_id"), ["conv_id"], "left_semi")
+    # a run's start sorts before the message of its number, and so does it before those that attach there
+    marks = starts.select("conv_id", F.col("start").alias("at"), F.lit(0).alias("kind"), F.col("start").alias("value"))
+    asked = members.select("conv_id", "at", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("value"))
+    within = stored(_last_before(marks.unionByName(asked), ["conv_id"], ["at", "kind"], F.col("value"), "run", "within").where("kind = 1").select("conv_id", "at", "run"), "run")
+    sizes = within.groupBy("conv_id", F.col("run").alias("start")).agg(F.count("*").alias("size"))
+    parents = within.select("conv_id", F.col("at").alias("attached"), F.col("run").alias("parent"))
+    offsets = _offsets(_same(_same(starts, sizes, ["conv_id", "start"]), parents, ["conv_id", "attached"]))
+    return _same(within, offsets.withColumnRenamed("start", "run"), ["conv_id", "run"]).select("conv_id", "at", (F.col("offset") + F.col("at") - F.col("run") + 1).alias("position"))
 
 
-def link_quotes(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text, reply_to, quoted_lines, linked_lines, position) of each message."""
-    rows = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+def link_quotes(conversations: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text, reply_to, quoted_passages, linked_passages, position) of each row; reply_to is the turn of the
+    message that it replies to, null for the first."""
+    rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").withColumn("message", F.md5("text"))
     quoting = F.coalesce(F.col("text").rlike(QUOTED), F.lit(False))
-    with_quotes = rows.where(quoting).select("conv_id").distinct().select(F.col("conv_id").alias("__conv"))
-    involved = rows.join(with_quotes, F.col("conv_id").eqNullSafe(F.col("__conv")), "left_semi")
-    lines = involved.select("conv_id", "turn", "role", F.md5("text").alias("message"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    marks = F.regexp_extract("line", LEVEL, 0)
-    lines = lines.withColumn("level", F.length(F.regexp_replace(marks, "[^>]", ""))).withColumn("content", F.regexp_replace("line", LEVEL, ""))
-    own_lines = Window.partitionBy("conv_id", "turn", "role", "message").orderBy("at")
-    lines = lines.withColumn("leads", F.col("line").rlike(ATTRIBUTION) & (F.coalesce(F.lead("level").over(own_lines), F.lit(0)) > 0))
-    clean = (
-        lines.groupBy("conv_id", "turn", "role", "message")
-        .agg(F.array_sort(F.collect_set(F.when((F.col("level") == 0) & ~F.col("leads"), F.struct("at", "line")))).alias("kept"))
-        .select("conv_id", "turn", "role", "message", F.trim(F.array_join(F.transform("kept", lambda x: x["line"]), "\n")).alias("clean"))
-    )
-    hashed = lines.where(~F.col("leads")).withColumn("hash", F.md5(_normal(F.col("content")))).where(F.length(F.trim("content")) > 0)
-    # quotes sort before the unquoted lines of their own turn, so that they see earlier turns only
-    before = Window.partitionBy("conv_id", "hash").orderBy(F.col("turn").asc_nulls_first(), F.col("level").desc(), "at").rowsBetween(Window.unboundedPreceding, -1)
-    origin = F.last(F.when(F.col("level") == 0, F.col("turn")), ignorenulls=True).over(before)
-    quotes = hashed.withColumn("origin", origin).where("level > 0")
-    votes = quotes.groupBy("conv_id", "turn", "role", "message", "origin").agg(F.count("*").alias("n"), F.min("level").alias("level"))
-    order = F.when(F.col("origin").isNotNull() & ~F.col("origin").eqNullSafe(F.col("turn")), F.struct(-F.col("level"), F.col("n"), F.col("origin")))
-    best = votes.groupBy("conv_id", "turn", "role", "message").agg(F.max_by("origin", order).alias("origin"), F.sum("n").alias("quoted"), F.sum(F.when(F.col("origin").isNotNull(), F.col("n")).otherwise(0)).alias("linked"))
-    found = clean.join(best, [clean[c].eqNullSafe(best[c]) for c in ("conv_id", "turn", "role", "message")], "left").select(
-        clean["conv_id"].alias("__conv"), clean["turn"].alias("__turn"), clean["role"].alias("__role"), clean["message"].alias("__message"), "clean", "origin", "quoted", "linked"
-    )
-    joined = rows.join(found, F.col("conv_id").eqNullSafe(F.col("__conv")) & F.col("turn").eqNullSafe(F.col("__turn")) & F.col("role").eqNullSafe(F.col("__role")) & (F.md5("text") == F.col("__message")), "left")
-    order_of = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    previous = F.max("turn").over(Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first()).rangeBetween(Window.unboundedPreceding, -1))
-    return joined.select(
-        "conv_id",
-        "turn",
-        "role",
-        F.when(F.col("__conv").isNotNull() | F.col("clean").isNotNull(), F.col("clean")).otherwise(F.col("text")).alias("text"),
-        F.coalesce("origin", previous).alias("reply_to"),
-        F.coalesce("quoted", F.lit(0)).cast("long").alias("quoted_lines"),
-        F.coalesce("linked", F.lit(0)).cast("long").alias("linked_lines"),
-        F.row_number().over(order_of).cast("long").alias("position"),
-    )
+    keys = rows.groupBy(*MESSAGE).agg(F.max(quoting).alias("quoting"))
+    messages = stored(_numbered(keys, "conv_id", ["turn", "role", "message"], "messages"), "numbered")
+    out = messages.select(*MESSAGE, "at", (F.col("at") - 1).alias("reply_at"), F.lit(0).cast("long").alias("quoted_passages"), F.lit(0).cast("long").alias("linked_passages"), F.col("at").alias("position"), F.lit(None).cast("string").alias("clean"))
+    if not messages.where("quoting").isEmpty():
+        involved = _same(messages, messages.where("quoting").select("conv_id").distinct(), ["conv_id"], "left_semi")
+        texts = _same(involved.select(*MESSAGE, "at"), rows.where("text is not null").dropDuplicates(MESSAGE), MESSAGE)
+        lines = stored(_lines(texts.where("text is not null")), "lines")
+        origins = stored(_origins(_units(lines)), "origins")
+        kept = F.array_sort(F.collect_list(F.when((F.col("level") == 0) & ~F.col("leads"), F.struct("pos", "line"))))
+        clean = lines.groupBy("conv_id", "at").agg(F.max(F.col("level") > 0).alias("quotes"), kept.alias("kept")).where("quotes")
+        clean = clean.select("conv_id", "at", F.btrim(F.array_join(F.transform("kept", lambda x: x["line"]), "\n"), F.lit(" \t\r\n")).alias("__clean"))
+        found = _same(out.drop("quoted_passages", "linked_passages", "clean", "position"), origins, ["conv_id", "at"])
+        found = _same(_same(found, clean, ["conv_id", "at"]), _positions(messages, origins), ["conv_id", "at"])
+        out = found.select(*MESSAGE, "at", F.coalesce("origin", "reply_at").alias("reply_at"), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("quoted_passages", "linked_passages")), F.coalesce("position", "at").alias("position"), F.col("__clean").alias("clean"))
+    parents = messages.select("conv_id", F.col("at").alias("reply_at"), F.col("turn").alias("reply_to"))
+    out = _same(out, parents, ["conv_id", "reply_at"])
+    return _same(rows, out.drop("at", "reply_at"), MESSAGE).select("conv_id", "turn", "role", F.coalesce("clean", "text").alias("text"), "reply_to", "quoted_passages", "linked_passages", "position")
 
 
 def op5_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,19 +172,31 @@ def op5_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH m AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, text, md5(text) AS message FROM conversations),
-q AS (SELECT DISTINCT conv_id FROM m WHERE regexp_matches(text, '(?m)^[ \t]*>')),
-l0 AS (SELECT m.conv_id, m.turn, role, message, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM m JOIN q ON q.conv_id = m.conv_id),
-l1 AS (SELECT *, length(regexp_replace(regexp_extract(line, '^([ \t]*>)+'), '[^>]', '', 'g')) AS level, regexp_replace(line, '^([ \t]*>)+', '') AS content FROM l0),
-l AS (SELECT *, regexp_full_match(line, '\s*On .* wrote:\s*') AND coalesce(lead(level) OVER (PARTITION BY conv_id, turn, role, message ORDER BY pos), 0) > 0 AS leads FROM l1),
-clean AS (SELECT conv_id, turn, role, message, trim(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (level = 0 AND NOT leads), '')) AS clean FROM l GROUP BY ALL),
-h AS (SELECT *, md5(trim(regexp_replace(lower(content), '\s+', ' ', 'g'))) AS hash FROM l WHERE NOT leads AND length(trim(content)) > 0),
-o AS (SELECT *, (SELECT max(p.turn) FROM h p WHERE p.conv_id = h.conv_id AND p.hash = h.hash AND p.level = 0 AND p.turn < h.turn) AS origin FROM h WHERE level > 0),
-v AS (SELECT conv_id, turn, role, message, origin, count(*) AS n, min(level) AS level FROM o GROUP BY ALL),
-b AS (SELECT conv_id, turn, role, message, arg_max(origin, {'a': -level, 'b': n, 'c': origin}) FILTER (origin IS NOT NULL) AS origin, sum(n) AS quoted, sum(CASE WHEN origin IS NULL THEN 0 ELSE n END) AS linked FROM v GROUP BY ALL)
-SELECT m.conv_id, m.turn, m.role, coalesce(clean, text) AS text,
-  coalesce(b.origin, max(m.turn) OVER (PARTITION BY m.conv_id ORDER BY m.turn RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS reply_to,
-  CAST(coalesce(quoted, 0) AS BIGINT) AS quoted_lines, CAST(coalesce(linked, 0) AS BIGINT) AS linked_lines,
-  row_number() OVER (PARTITION BY m.conv_id ORDER BY m.turn, m.role, m.text) AS position
-FROM m LEFT JOIN clean USING (conv_id, turn, role, message) LEFT JOIN b USING (conv_id, turn, role, message)
+WITH RECURSIVE m AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, message NULLS FIRST) AS nr
+  FROM (SELECT DISTINCT conv_id, CAST(turn AS BIGINT) AS turn, role, text, md5(text) AS message FROM conversations)),
+l0 AS (SELECT conv_id, nr, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM m
+  WHERE EXISTS (SELECT 1 FROM m q WHERE q.conv_id IS NOT DISTINCT FROM m.conv_id AND regexp_matches(q.text, '(?m)^[ \t]*>'))),
+l1 AS (SELECT *, length(regexp_replace(regexp_extract(line, '^([ \t]*>)+'), '[^>]', '', 'g')) AS level,
+  trim(regexp_replace(lower(regexp_replace(line, '^([ \t]*>)+', '')), '[ \t\r\f]+', ' ', 'g')) AS content FROM l0),
+l2 AS (SELECT *, regexp_full_match(line, '[ \t]*On .* wrote:[ \t\r]*') AND coalesce(lead(level) OVER (PARTITION BY conv_id, nr ORDER BY pos), 0) > level AS leads,
+  lag(level) OVER (PARTITION BY conv_id, nr ORDER BY pos) AS before FROM l1),
+l AS (SELECT *, sum(CASE WHEN level <> before OR leads OR content = '' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, nr ORDER BY pos) AS passage FROM l2),
+clean AS (SELECT conv_id, nr, trim(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (level = 0 AND NOT leads), ''), ' ' || chr(9) || chr(13) || chr(10)) AS clean
+  FROM l GROUP BY ALL HAVING max(level) > 0),
+p AS (SELECT conv_id, nr, level, passage, list(content ORDER BY pos) AS lines, string_agg(content, ' ' ORDER BY pos) AS whole FROM l WHERE NOT leads AND content <> '' GROUP BY ALL),
+u AS (SELECT DISTINCT conv_id, nr, level, passage, unit FROM (SELECT conv_id, nr, level, passage,
+  unnest(list_concat([whole], list_concat(string_split(regexp_replace(whole, '([.!?]) ', '\1' || chr(10), 'g'), chr(10)), lines))) AS unit FROM p) WHERE unit <> ''),
+o AS (SELECT *, (SELECT max(e.nr) FROM u e WHERE e.conv_id IS NOT DISTINCT FROM u.conv_id AND e.unit = u.unit AND e.level = 0 AND e.nr < u.nr) AS origin FROM u WHERE level > 0),
+v AS (SELECT conv_id, nr, origin, min(level) AS level, sum(length(unit)) AS chars FROM o WHERE origin IS NOT NULL GROUP BY ALL),
+b AS (SELECT conv_id, nr, arg_max(origin, {'a': -level, 'b': chars, 'c': origin}) AS origin FROM v GROUP BY ALL),
+c AS (SELECT conv_id, nr, count(DISTINCT passage) AS quoted, count(DISTINCT passage) FILTER (origin IS NOT NULL) AS linked FROM o GROUP BY ALL),
+r AS (SELECT m.*, coalesce(b.origin, CASE WHEN m.nr > 1 THEN m.nr - 1 END) AS parent, coalesce(c.quoted, 0) AS quoted, coalesce(c.linked, 0) AS linked, coalesce(clean.clean, m.text) AS kept
+  FROM m LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM m.conv_id AND b.nr = m.nr LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM m.conv_id AND c.nr = m.nr
+  LEFT JOIN clean ON clean.conv_id IS NOT DISTINCT FROM m.conv_id AND clean.nr = m.nr),
+t AS (SELECT conv_id, nr, [nr] AS path, CAST(NULL AS BIGINT) AS reply_to, turn FROM r WHERE parent IS NULL
+  UNION ALL SELECT r.conv_id, r.nr, list_append(t.path, r.nr), t.turn, r.turn FROM r JOIN t ON t.conv_id IS NOT DISTINCT FROM r.conv_id AND t.nr = r.parent),
+z AS (SELECT conv_id, nr, reply_to, row_number() OVER (PARTITION BY conv_id ORDER BY path) AS position FROM t)
+SELECT s.conv_id, CAST(s.turn AS BIGINT) AS turn, s.role, r.kept AS text, z.reply_to, CAST(r.quoted AS BIGINT) AS quoted_passages, CAST(r.linked AS BIGINT) AS linked_passages, z.position
+FROM conversations s JOIN r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.turn IS NOT DISTINCT FROM s.turn AND r.role IS NOT DISTINCT FROM s.role AND r.message IS NOT DISTINCT FROM md5(s.text)
+JOIN z ON z.conv_id IS NOT DISTINCT FROM r.conv_id AND z.nr = r.nr
 """

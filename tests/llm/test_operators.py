@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallywright.llm import html_text, interpolated_lm, itq_dedup, langid, latent_decontam, mixing, parity_join, quotes, secrets, shared, warc
+from tallywright.llm import html_text, interpolated_lm, itq_dedup, langid, latent_decontam, mixing, parity_join, secrets, shared, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 rng = np.random.default_rng(3)
@@ -297,15 +297,6 @@ def test_html(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
-def test_quotes(spark):
-    rows = [(1, 0, "a", "Hello there.\nSecond line."), (1, 1, "b", "Other"), (1, 2, "a", "On Monday a wrote:\n> hello  THERE.\n> > deep\nI agree."), (1, 3, "b", None), (2, 0, "a", "> nobody"), (2, 1, "b", "")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("level", F.lit(9))
-    got = {(r.conv_id, r.turn): r for r in quotes.link_quotes(df).collect()}
-    assert got[1, 2].text == "I agree." and got[1, 2].reply_to == 0 and got[1, 2].quoted_lines == 2 and got[1, 2].linked_lines == 1
-    assert got[1, 1].reply_to == 0 and got[1, 3].text is None and got[1, 3].reply_to == 2 and got[2, 0].text == ""
-    assert quotes.link_quotes(df.limit(0)).count() == 0
-
-
 def test_secrets(spark):
     key = hashlib.sha1(b"x").hexdigest()
     rows = [(1, f'x token = "{key}" y token = "{key}"', "s"), (2, f"commit {key} merged", None), (3, "see mail9.example.com by me", "s"), (None, None, None), (5, "", "s")]
