@@ -1,12 +1,14 @@
 """Embedding near-duplicates: iterative quantisation, multi-index Hamming tables, rerank by cosine.
 
 Rotations learned by iterative quantisation on a bounded sample (FIT vectors with the smallest hash) turn each vector into
-balanced binary codes. A code is cut into TABLES substrings of BITS bits; vectors of a label that agree in a substring meet in
-its bucket, in blocks, and are compared by cosine in double precision. A pair is counted in the first substring in which it
+balanced binary codes. A label's codes are cut into tables, substrings of bits bits; its vectors that agree in a substring meet in
+that bucket, in blocks, and are compared by cosine in double precision. A pair is counted in the first substring in which it
 agrees, so that no list of pairs is ever formed: a block gives each vector's number of links and a spanning forest.
 
-The share of pairs at cosine 0.98 that meet is 1 - (1 - (1 - acos(0.98) / pi) ** BITS) ** TABLES, over 0.99 for 10 bits and 8
-tables; tests measure it against brute force. Equal vectors of a label meet before, as one with a multiplicity.
+A label of n vectors has SPARE bits more than the logarithm of n, so that a bucket holds less than one unlike vector at any n and
+vectors that stand alone don't travel; it has so many tables that pairs at cosine 0.98 meet with a chance of RECALL. They grow as a
+small power of n (some 10 at 5,000 vectors, 20 at 1,000,000). Tests measure recall against brute force. Equal vectors of a label
+meet before, as one with a multiplicity.
 
 Null, empty and zero vectors, vectors with null or non-finite components and rows with null labels link with nothing and are
 kept. Vectors of different lengths are never compared. Repeated vec_ids count as vectors of their own; a null vec_id is no
@@ -15,25 +17,31 @@ component's id. An empty table gives an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm.shared import components, lean, small, sorted_groups, stored, table
+from tallywright.llm.shared import components, discard, lean, small, sorted_groups, stored, table
 
 LEAST = 0.98
 FIT = 20_000  # vectors that rotations are learned on
-TABLES = 8
-BITS = 10  # of a substring; log2 of the vectors of a label over some tens keeps buckets small
+SPARE = 2  # bits of a substring above the logarithm of the label's vectors
+RECALL = 0.995  # of pairs at cosine LEAST
+CENTRED = 0.5  # least length that vectors keep when their mean is taken away; else it stays
 STEPS = 30
 BLOCK = 1024  # vectors on either side of a block
+CODED = ["vec", "label", "embedding", "copies", "least", "width"]
 
 
 def learn_rotations(sample: np.ndarray, bits: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """(mean, projection): principal axes turned by rotations under which signs quantise best; as many as bits need."""
     x = sample / np.linalg.norm(sample, axis=1, keepdims=True)
     mean = x.mean(0)
+    if np.quantile(np.linalg.norm(x - mean, axis=1), 0.05) < CENTRED:
+        mean = np.zeros_like(mean)
     x = x - mean
     width = x.shape[1]
     _, axes = np.linalg.eigh(x.T @ x)
@@ -49,6 +57,13 @@ def learn_rotations(sample: np.ndarray, bits: int, seed: int = 7) -> tuple[np.nd
     return mean, np.concatenate(found, axis=1)[:, :bits]
 
 
+def agreement(sample: np.ndarray, mean: np.ndarray) -> float:
+    """Chance that a bit of two vectors at cosine LEAST is equal: their angle, seen from mean."""
+    x = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    length = np.quantile(np.linalg.norm(x - mean, axis=1), 0.05)
+    return 1 - 2 * math.asin(min(1.0, math.sqrt((1 - LEAST) / 2) / length)) / math.pi
+
+
 def _unit(vectors: list) -> np.ndarray:
     x = np.array(vectors, np.float64)
     x /= np.abs(x).max(1, keepdims=True)
@@ -95,38 +110,48 @@ def _compare(batches):
         )
 
 
-def near_duplicates(vectors: DataFrame, bits: int = BITS) -> DataFrame:
+def near_duplicates(vectors: DataFrame) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of rows (vec_id, embedding, label)."""
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    kind = vectors.schema["embedding"].dataType.elementType.simpleString()
+    kind = kind if kind == "float" else "double"  # floats travel as such and are compared as doubles
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
     # a component that is null or not finite fails the comparison; all of them zero fail the second
     sound = F.expr("label is not null and embedding is not null and size(embedding) > 0 and coalesce(forall(embedding, v -> abs(v) <= 1.7976931348623157E308), false) and exists(embedding, v -> v <> 0)")
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
-    good = rows.where("sound").withColumn("embedding", F.transform("embedding", lambda v: v + F.lit(0.0)))
-    unique = stored(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")), "unique")
-    unique = stored(unique.withColumn("vec", F.xxhash64("label", "embedding")), "vectors")
-    sample = unique.select("embedding", F.size("embedding").alias("width")).orderBy(F.xxhash64("embedding")).limit(FIT).toArrow()
-    models = {}
-    for width in sorted(set(sample.column("width").to_pylist())):
-        fit = _unit([v for v, w in zip(sample.column("embedding").to_pylist(), sample.column("width").to_pylist(), strict=True) if w == width])
-        models[width] = learn_rotations(fit, TABLES * bits) if width > 1 else None
+    good = rows.where("sound").withColumn("embedding", F.transform("embedding", lambda v: v + F.lit(0.0).cast(kind)))
+    unique = stored(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")).withColumn("vec", F.xxhash64("label", "embedding")).withColumn("width", F.size("embedding")), "unique")
+    sample = unique.select("embedding", "width").orderBy(F.xxhash64("embedding")).limit(FIT).toArrow()
+    fits = {}
+    for width in sorted(set(sample.column("width").to_pylist()) - {1}):
+        fits[width] = _unit([v for v, w in zip(sample.column("embedding").to_pylist(), sample.column("width").to_pylist(), strict=True) if w == width])
+    means = {width: learn_rotations(fit, 1)[0] for width, fit in fits.items()}
+    equal = min((agreement(fit, means[width]) for width, fit in fits.items()), default=0.5)
+    labels = unique.groupBy("label").agg(F.count("*").alias("n")).withColumn("bits", (F.ceil(F.log2("n")) + SPARE).cast("int"))
+    labels = stored(labels.withColumn("tables", F.greatest(F.lit(1), F.ceil(F.lit(math.log(1 - RECALL)) / F.log1p(-F.pow(F.lit(equal), "bits")))).cast("int")).select("label", "bits", "tables"), "labels")
+    models = {width: learn_rotations(fit, labels.agg(F.max(F.col("bits") * F.col("tables"))).first()[0]) for width, fit in fits.items()}
 
     def encode(batches):
-        weights = 1 << np.arange(bits, dtype=np.int64)
-        for batch in batches:
-            codes = []
-            for v in batch.column(1).to_pylist():
-                model = models.get(len(v))
-                if model is None:
-                    codes.append([0] * TABLES)
-                    continue
-                signs = (_unit([v])[0] - model[0]) @ model[1] >= 0
-                codes.append((signs.reshape(TABLES, bits) @ weights).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.list_(pa.int64()))], names=["vec", "code"])
-
-    codes = stored(unique.select("vec", "embedding").mapInArrow(lean(encode), "vec long, code array<long>"), "codes")
-    keyed = unique.select("vec", "label", "embedding", "copies", F.size("embedding").alias("width")).join(codes, "vec").select("*", F.posexplode("code").alias("place", "value"))
+        for whole in batches:
+            for a in range(0, whole.num_rows, 2000):
+                batch = whole.slice(a, 2000)
+                widths, bits, tables = (batch.column(k).to_numpy() for k in ("width", "bits", "tables"))
+                codes: list = [None] * batch.num_rows
+                for width, b, t in set(zip(widths.tolist(), bits.tolist(), tables.tolist(), strict=True)):
+                    at = np.flatnonzero((widths == width) & (bits == b) & (tables == t))
+                    found = np.zeros((len(at), t), np.int64)
+                    if width in models:
+                        mean, projection = models[width]
+                        signs = (_unit(batch.column("embedding").take(pa.array(at)).to_pylist()) - mean) @ projection[:, : b * t] >= 0
+                        found = signs.reshape(len(at), t, b) @ (1 << np.arange(b, dtype=np.int64))
+                    for k, code in zip(at.tolist(), found.tolist(), strict=True):
+                        codes[k] = code
+                yield pa.RecordBatch.from_arrays([batch.column(k) for k in CODED] + [pa.array(codes, pa.list_(pa.int64()))], names=[*CODED, "code"])
+
+    sized = unique.join(small(labels), "label").select(*CODED, "bits", "tables")
+    coded = stored(sized.mapInArrow(lean(encode), f"vec long, label string, embedding array<{kind}>, copies long, least long, width int, code array<long>"), "codes")
+    discard(unique)
     key = ["label", "width", "place", "value"]
+    keyed = coded.select("vec", "label", "embedding", "copies", "width", "code", F.posexplode("code").alias("place", "value"))
     sizes = small(stored(keyed.groupBy(*key).agg(F.count("*").alias("size")).where("size > 1"), "sizes"))
     keyed = keyed.join(sizes, key).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("vec"), F.col("blocks")).cast("int"))
     keyed = keyed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
@@ -134,7 +159,7 @@ def near_duplicates(vectors: DataFrame, bits: int = BITS) -> DataFrame:
     found = stored(keyed.mapInArrow(lean(_compare), "vec long, links long, other long"), "found")
     links = found.groupBy("vec").agg(F.sum("links").alias("links"))
     roots = components(found.where("vec <> other").select("vec", "other")).withColumnRenamed("node", "vec")
-    sets = unique.join(links, "vec", "left").join(roots, "vec", "left").withColumn("root", F.coalesce("component", "vec"))
+    sets = coded.join(links, "vec", "left").join(roots, "vec", "left").withColumn("root", F.coalesce("component", "vec"))
     sets = stored(sets.select("vec", "label", "embedding", "least", "root", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "result")
     smallest = sets.groupBy("root").agg(F.min("least").alias("component_id"))
     sets = sets.join(smallest, "root").select("vec", "n_links", "component_id")
