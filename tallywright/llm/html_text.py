@@ -1,15 +1,19 @@
 """Main text of web pages by equivalence classes of template tokens.
 
-A page's tokens are its opening tags with their path and its text blocks outside the article with theirs. A token's
-occurrence vector says how often it occurs in each page of a host; vectors are compared as sums of page hashes, so
-one aggregation finds them however many pages a host has. Tokens with equal vectors are a class. A class is valid with
-MIN_TAGS tags in MIN_PAGES pages; the tag paths nest valid classes into the host's template. Text whose vector is
-that of a valid class stands on every such page and belongs to the template; what is left are slots. Slots under menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are dropped; of the rest the article (or
-main) element with most text is the result, or, without one, all slots that aren't mostly links.
-
-Null or empty html: empty text, n_chars 0. A url without a host shares the host ''. Repeated pages count
-each and give a row each; text inside an article is never template text, so that copies keep theirs. Equal vectors tie into one class. Other columns are kept; text and n_chars are replaced.
+A page's tokens are its block tags and its text blocks outside the article. A tag is told apart by its place: its path and its
+number among equal siblings, so it occurs once in a page; a text by its path alone, so that it may move. A token's occurrence vector
+says how often it occurs in each page of a host; vectors are compared as sums of page hashes, so one aggregation finds them however
+many pages a host has. Tokens with equal vectors are a class. A class is valid with MIN_TAGS tags in MIN_PAGES pages, and is nested
+if the tag around each of its tags is its own or that of another nested class; the nested classes are the host's template, optional
+parts included. Text whose vector is that of a nested class stands on just these pages and belongs to the template; what is left are
+slots. Slots under menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are dropped; of the rest
+the article (or main) element with most text is the result, or, without one, all slots that aren't mostly links.
+
+Outside an article one word of a class or id names boilerplate; within one all words of a name must, so that `side-effects` or
+`related-work` stay. Null or empty html: empty text, n_chars 0. A url without a host shares the host ''. Repeated pages count each and
+give a row each; text inside an article is never template text, and a page of template text only keeps it, so that copies keep
+theirs. Unclosed tags end with what is around them. Equal vectors tie into one class; of articles of equal length the first is taken.
+Other columns are kept; text and n_chars are replaced.
 """
 
 from __future__ import annotations
@@ -23,10 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tallywright.llm.shared import lean, small, stored, table
+from tallywright.llm.shared import lean, stored, table
 
 MIN_PAGES = 5
 MIN_TAGS = 3
+TOKENS = 500_000  # of all templates, up to which they are broadcast: 4 MB
 LINKS = 0.5  # share of a block's characters in links from which it is no text, outside an article
 
 # Element names of the HTML standard, and words that name boilerplate in class, id and role.
@@ -39,6 +44,10 @@ MARKS = set(
     " header masthead topbar footer foot bottombar copyright sidebar sidebars side aside rail widget widgets notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe"
     " subscription signup login comment comments commentlist reply replies respond disqus discussion related recommended share sharing social search pagination pager toolbar skip".split()
 )
+PLAIN = set(  # words that say nothing beside one of MARKS
+    "box block list lists container wrapper wrap area section item items inner outer link links post posts article articles bar panel content unit slot top bottom left right user users reader readers text body"
+    " form title site page global mobile desktop sticky fixed card button buttons icons thread js x".split()
+)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form", "toolbar"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -63,16 +72,19 @@ def _boilerplate(name: str, attributes: dict[str, str], inside: bool) -> bool:
         return True
     if name in ("body", "html", "article", "main"):
         return False
-    words = {w.lower() for key in ("class", "id") for w in _WORDS.findall(attributes.get(key, ""))}
-    return bool(words & (MARKS - {"header"} if inside else MARKS))
+    for label in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+        words = {w.lower() for w in _WORDS.findall(label)}
+        if inside and words & (MARKS - {"header"}) and words <= MARKS | PLAIN or not inside and words & MARKS:
+            return True
+    return False
 
 
 def blocks(html: str):
-    """(tags, blocks): opening tags as path hashes, and (text, path hash, article number or 0, dropped, link characters)."""
-    stack: list[tuple] = []  # name, path, article, dropped
+    """(tags, blocks): opening tags as hashes (place, place around it or 0), and (text, path hash, article number or 0, dropped, link characters)."""
+    stack: list[tuple] = []  # name, path, article, dropped, place, children by path
     tags, found, words = [], [], []
     state = {"articles": 0, "links": 0}
-    top = ("", 0, 0, False)
+    top = ("", 0, 0, False, 0, {})
 
     def flush():
         text = _SPACE.sub(" ", entities.unescape("".join(words))).strip()
@@ -130,8 +142,12 @@ def blocks(html: str):
         attributes = _attributes(m[3])
         above = stack[-1] if stack else top
         path = xxhash.xxh64_intdigest(f"{name}.{attributes.get('class', '')}#{attributes.get('id', '')}", seed=above[1]) & 0x7FFFFFFFFFFFFFFF
+        place, children = above[4], above[5]
         if block:
-            tags.append(path)
+            children[path] = children.get(path, 0) + 1
+            place = xxhash.xxh64_intdigest(children[path].to_bytes(4), seed=path ^ above[4]) & 0x7FFFFFFFFFFFFFFF
+            tags.append((place, above[4]))
+            children = {}
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
             at = end.end() if end else size + 1
@@ -146,7 +162,7 @@ def blocks(html: str):
             dropped = _boilerplate(name, attributes, True) or bool(above[2]) and above[3]
         else:
             dropped = above[3] or _boilerplate(name, attributes, bool(article))
-        stack.append((name, path, article, dropped))
+        stack.append((name, path, article, dropped, place, children))
     flush()
     return tags, found
 
@@ -158,7 +174,8 @@ def _text_token(path: int, text: str) -> int:
 def main_text(html: str | None, template: set[int] = frozenset()) -> str:
     """The main text of a page; template: text tokens of its host that are no slots."""
     _, found = blocks(html or "")
-    kept = [b for b in found if not b[3] and (b[2] or _text_token(b[1], b[0]) not in template)]
+    named = [b for b in found if not b[3]]
+    kept = [b for b in named if b[2] or _text_token(b[1], b[0]) not in template] or named
     weight: dict[int, int] = {}
     for text, _, article, _, _ in kept:
         if article:
@@ -173,7 +190,7 @@ def _host():
     return F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
 
 
-_VECTORS = "host string, token long, is_text boolean, vector long, n long"
+_VECTORS = "host string, token long, is_text boolean, parent long, vector long, n long"
 
 
 def _vectors(batches):
@@ -183,19 +200,19 @@ def _vectors(batches):
             page = xxhash.xxh64_intdigest(html.encode("utf-8", "surrogatepass")) >> 8
             tags, found = blocks(html)
             own: dict[tuple, int] = {}
-            for t in tags:
-                own[host, t, False] = own.get((host, t, False), 0) + 1
+            for place, around in tags:
+                own[host, place, False, around] = 1
             for text, path, article, dropped, _ in found:
                 if not article and not dropped:
-                    key = host, _text_token(path, text), True
+                    key = host, _text_token(path, text), True, 0
                     own[key] = own.get(key, 0) + 1
             for key, n in own.items():
                 held = rows.setdefault(key, [0, 0])
                 held[0] = (held[0] + page * n) & 0xFFFFFFFFFFFFFFFF
                 held[1] += 1
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in rows], pa.string()), pa.array([k[1] for k in rows], pa.int64()), pa.array([k[2] for k in rows], pa.bool_()), pa.array([(v[0] ^ (1 << 63)) - (1 << 63) for v in rows.values()], pa.int64()), pa.array([v[1] for v in rows.values()], pa.int64())],
-            names=["host", "token", "is_text", "vector", "n"],
+            [pa.array([k[0] for k in rows], pa.string()), pa.array([k[1] for k in rows], pa.int64()), pa.array([k[2] for k in rows], pa.bool_()), pa.array([k[3] for k in rows], pa.int64()), pa.array([(v[0] ^ (1 << 63)) - (1 << 63) for v in rows.values()], pa.int64()), pa.array([v[1] for v in rows.values()], pa.int64())],
+            names=["host", "token", "is_text", "parent", "vector", "n"],
         )
 
 
@@ -203,16 +220,26 @@ def templates(pages: DataFrame) -> DataFrame:
     """(host, template): the text tokens of each host's template. Vectors add up in 64 bits and wrap."""
     seen = pages.where("html is not null and html <> ''").select(_host().alias("host"), "html")
     tokens = seen.mapInArrow(lean(_vectors), _VECTORS)
-    parts = tokens.groupBy("host", "token", "is_text").agg(F.sum(F.col("vector").cast("decimal(38,0)")).alias("v"), F.sum("n").alias("n"))
-    classes = stored(parts.where(f"n >= {MIN_PAGES}").withColumn("vector", F.pmod("v", F.lit("18446744073709551616").cast("decimal(38,0)"))).select("host", "token", "is_text", "vector", "n"), "tokens")
-    valid = classes.where("not is_text").groupBy("host", "vector").agg(F.count("*").alias("tags")).where(f"tags >= {MIN_TAGS}")
-    return classes.where("is_text").join(valid, ["host", "vector"], "left_semi").groupBy("host").agg(F.collect_set("token").alias("template"))
+    parts = tokens.groupBy("host", "token", "is_text").agg(F.sum(F.col("vector").cast("decimal(38,0)")).alias("v"), F.sum("n").alias("n"), F.min("parent").alias("parent"))
+    classes = stored(parts.where(f"n >= {MIN_PAGES}").withColumn("vector", F.pmod("v", F.lit("18446744073709551616").cast("decimal(38,0)"))).select("host", "token", "is_text", "vector", "parent"), "tokens")
+    tags = classes.where("not is_text")
+    nested = stored(tags.groupBy("host", "vector").agg(F.count("*").alias("tags")).where(f"tags >= {MIN_TAGS}").select("host", "vector"), "classes")
+    while True:  # a round takes away the classes inside slots, then those within these; most hosts have none
+        members = tags.join(nested, ["host", "vector"], "left_semi")
+        within = members.select("host", F.col("token").alias("parent"))
+        loose = stored(members.where("parent <> 0").join(within, ["host", "parent"], "left_anti").select("host", "vector").distinct(), "loose")
+        if loose.isEmpty():
+            break
+        nested = stored(nested.join(loose, ["host", "vector"], "left_anti"), "classes")
+    return classes.where("is_text").join(nested, ["host", "vector"], "left_semi").groupBy("host").agg(F.collect_set("token").alias("template"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """pages (url, html, ...) with text and n_chars (code points)."""
     pages = pages.drop("text", "n_chars", "__host", "__template")
-    found = small(stored(templates(pages), "templates").select(F.col("host").alias("__host"), F.col("template").alias("__template")))
+    found = stored(templates(pages), "templates").select(F.col("host").alias("__host"), F.col("template").alias("__template"))
+    size = found.agg(F.sum(F.size("__template") + F.length("__host"))).first()[0] or 0
+    found = F.broadcast(found) if size <= TOKENS else found
     fields = [f for f in pages.schema.fields if f.name != "html"]
     rows = pages.join(found, _host() == F.col("__host"), "left").select(*(f.name for f in fields), "html", "__template")
 
