@@ -205,7 +205,7 @@ def common_subsequence(item: np.ndarray, region: np.ndarray) -> int:
 
 
 def _candidates(model: dict, words: np.ndarray, at: np.ndarray):
-    """(document, first word, item, cosine) of the windows near a benchmark passage."""
+    """Arrays (document, first word, item, cosine) of the windows near a benchmark passage, an item's first in each window."""
     feature = _features(words)
     weight = model["idf"][feature]
     rows = model["rows"][feature]
@@ -236,9 +236,13 @@ def _candidates(model: dict, words: np.ndarray, at: np.ndarray):
         cell = np.repeat(np.repeat(np.arange(len(some)) * passages, sizes), n) + model["passage"][place]
         cosine = np.bincount(cell, np.repeat(weight[tokens], n) * model["value"][place], len(some) * passages).reshape(-1, passages)
         norm = np.sqrt(known[some])
-        cosine /= norm[:, None]
-        for w, q in zip(*np.nonzero(cosine >= (COSINE - lost[some] / norm)[:, None]), strict=True):
-            yield int(doc[some[w]]), int(starts[some[w]]), int(model["where"][q]), float(cosine[w, q])
+        hit = np.flatnonzero(cosine >= (COSINE * norm - lost[some])[:, None])
+        w, q = np.divmod(hit, passages)
+        item = model["where"][q]
+        _, first = np.unique(w * len(model["texts"]) + item, return_index=True)
+        first.sort()
+        w, q = w[first], q[first]
+        yield doc[some[w]], starts[some[w]], item[first], cosine[w, q] / norm[w]
 
 
 def find(model: dict, column: pa.Array):
@@ -246,24 +250,33 @@ def find(model: dict, column: pa.Array):
     words, at = word_hashes(column, letters=True)
     best: dict[tuple[int, int], tuple] = {}
     least = min(VERBATIM, PARAPHRASE)
-    own: dict[int, tuple] = {}
-    seen: set[tuple[int, int, int]] = set()
-    for doc, start, item, cosine in _candidates(model, words, at):
+    if "sizes" not in model:  # once in a worker
+        model["distinct"] = [frozenset(t.tolist()) for t in model["texts"]]
+        model["sizes"] = np.array([len(t) for t in model["texts"]])
+        # a subsequence of enough words holds at least so many distinct ones
+        model["some"] = least * model["sizes"] - (model["sizes"] - np.array([len(d) for d in model["distinct"]]))
+    # only words that the benchmark has can match
+    known = model["known"][_features(words)]
+    before = np.concatenate([[0], np.cumsum(known)])
+    words_known = words[known]
+
+    def near():
+        for doc, start, item, cosine in _candidates(model, words, at):
+            sizes = model["sizes"][item]
+            low = np.maximum(at[doc], start - sizes)
+            high = np.minimum(at[doc + 1], start + 2 * CELL + sizes)
+            enough = before[high] - before[low] >= model["some"][item]
+            yield from zip(*(x[enough].tolist() for x in (doc, item, cosine, low, high, before[low], before[high])), strict=True)
+
+    for doc, item, cosine, low, high, a, b in near():
         text = model["texts"][item]
-        if (doc, item, start) in seen:
-            continue
-        seen.add((doc, item, start))
-        region = words[max(at[doc], start - len(text)) : min(at[doc + 1], start + 2 * CELL + len(text))]
-        if item not in own:
-            distinct = frozenset(text.tolist())
-            own[item] = distinct, least * len(text) - (len(text) - len(distinct))
-        distinct, some = own[item]
-        if len(distinct.intersection(region.tolist())) < some:  # the subsequence cannot be long enough
+        region = words_known[a:b]
+        if len(model["distinct"][item].intersection(region.tolist())) < model["some"][item]:
             continue
         lcs = common_subsequence(text, region) / len(text)
         if lcs < least:
             continue
-        answer = float(np.isin(model["answers"][item], region).mean()) if len(model["answers"][item]) else 0.0
+        answer = float(np.isin(model["answers"][item], words[low:high]).mean()) if len(model["answers"][item]) else 0.0
         if (lcs >= VERBATIM or lcs >= PARAPHRASE and answer >= ANSWER) and (doc, item) not in best or best.get((doc, item), (9,))[0] < lcs:
             best[doc, item] = lcs, cosine, answer
     for (doc, item), (lcs, cosine, answer) in sorted(best.items()):
