@@ -10,6 +10,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +56,30 @@ def _tidy(spark: SparkSession) -> None:
     if hasattr(libc, "malloc_trim"):
         libc.malloc_trim(0)
     spark.sparkContext._jvm.System.gc()
+    _trim_jvm(spark)
+
+
+def _trim_jvm(spark: SparkSession) -> None:
+    """The same for what the JVM holds beside its heap: its many threads' allocators keep what compilers, collections and
+    buffers have freed, however small the heap is. JVMs without that command, or on another C library, stay as they are."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    known = jvm.java.lang.Class.forName
+
+    def array(kind, items):
+        out = gateway.new_array(kind, len(items))
+        for i, x in enumerate(items):
+            out[i] = x
+        return out
+
+    try:
+        kinds = ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")
+        # by the interface: the server's own class is closed to reflection
+        call = known("javax.management.MBeanServer").getMethod("invoke", array(jvm.java.lang.Class, [known(x) for x in kinds]))
+        commands = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        nothing = array(jvm.java.lang.Object, []), array(jvm.java.lang.String, [])
+        call.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), array(jvm.java.lang.Object, [commands, "systemTrimNativeHeap", *nothing]))
+    except Py4JError:
+        pass
 
 
 def discard(*tables: DataFrame) -> None:
