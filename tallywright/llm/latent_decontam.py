@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm.shared import lean, stored, table, word_hashes
+from tallywright.llm.shared import lean, stored, table, tidy, word_hashes
 
 CELL = 16
 FEATURE_BITS = 18
@@ -144,6 +144,7 @@ def learn_space(items: DataFrame, idf: np.ndarray) -> dict | None:
 
     basis = np.random.default_rng(11).standard_normal((len(vocabulary), width))
     basis, _ = np.linalg.qr(squared(basis))
+    tidy(items.sparkSession)  # what was sent and summed up is as large as the matrices, on both sides
     core = basis.T @ squared(basis)
     _, turn = np.linalg.eigh((core + core.T) / 2)
     space = basis @ turn[:, ::-1]
@@ -306,6 +307,8 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
         if not models:
             continue
         sent = spark.sparkContext.broadcast(_merged(models, idf))  # words of PASS blocks and a few numbers for each
+        del models
+        tidy(spark)  # the scan is long
 
         def run(batches, sent=sent):
             for batch in batches:

@@ -44,11 +44,11 @@ def stored(df: DataFrame, name: str, whole_files: bool = False) -> DataFrame:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.folder = path
-    _tidy(spark)
+    tidy(spark)
     return out
 
 
-def _tidy(spark: SparkSession) -> None:
+def tidy(spark: SparkSession) -> None:
     """Gives the driver's unused memory back: a job of many small steps leaves plans and results behind in both processes,
     and the JVM shrinks its heap at a full collection only."""
     gc.collect()

@@ -7,7 +7,7 @@ from pathlib import Path
 
 import pytest
 
-from tallywright.llm import shared
+from tallywright.llm import latent_decontam, shared
 
 PIECES, BYTES, KEPT = 2000, 64 << 10, 20  # one piece of KEPT stays, so that the allocator can't give the others back unasked
 
@@ -25,7 +25,7 @@ def test_native_memory_goes_back(spark):
         jvm.System.gc()
         time.sleep(1)
     freed, before = PIECES * BYTES * (1 - 1 / KEPT) / (1 << 20), resident()
-    shared._tidy(spark)  # as after each stored table
+    shared.tidy(spark)  # as after each stored table
     assert len(taken) == PIECES // KEPT and before - resident() > freed / 2
 
 
@@ -40,3 +40,11 @@ def test_a_jvm_without_the_command(spark, monkeypatch):
 
     monkeypatch.setattr(spark.sparkContext, "_jvm", Closed)
     shared._trim_jvm(spark)
+
+
+def test_decontamination_gives_memory_back_before_the_scan(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "k l m n o p q r s t")], "doc_id long, text string")
+    calls = []
+    monkeypatch.setattr(latent_decontam, "tidy", lambda s: calls.append(s))
+    latent_decontam.contaminated(docs, docs.withColumnRenamed("doc_id", "item_id"))
+    assert len(calls) == 2
